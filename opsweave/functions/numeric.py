@@ -44,7 +44,3 @@ def severity_from_score(score: Column, bands: Sequence[tuple[str, float]], floor
     for name, edge in reversed(list(bands)):
         expr = F.when(score >= edge, name) if expr is None else expr.when(score >= edge, name)
     return F.when(score.isNotNull(), expr.otherwise(F.lit(floor)))
-
-
-def round6(c: Column) -> Column:
-    return F.round(c, 6)

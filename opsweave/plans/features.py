@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from opsweave.operators import features as W
 from opsweave.plans.inputs import load
-from opsweave.plans.registry import query
+from opsweave.plans.registry import query, round6
 
 H = 3600
 FLAGSHIP = W.FeatureConfig(
@@ -72,11 +72,11 @@ def _status_sql(cfg, resolved: bool = True) -> str:
 
 
 def _rounded(cols) -> str:
-    return ", ".join(f"round({c}, 6) AS {c}" for c in cols)
+    return ", ".join(f"r6({c}) AS {c}" for c in cols)
 
 
 def _round(df, cols):
-    return [F.round(c, 6).alias(c) for c in cols]
+    return [round6(c).alias(c) for c in cols]
 
 
 @query(
@@ -113,13 +113,13 @@ def _copies(obs):
     "W1_dedupe_observations",
     f"""WITH {COPIES},
 r AS (SELECT *, row_number() OVER (PARTITION BY event_id, metric_name ORDER BY event_time, value) AS rn FROM copies)
-SELECT event_id, metric_name, epoch_us(event_time) AS event_us, round(value, 6) AS value FROM r WHERE rn = 1""",
+SELECT event_id, metric_name, epoch_us(event_time) AS event_us, r6(value) AS value FROM r WHERE rn = 1""",
     ("observations",),
 )
 def dedupe(spark, folder):
     kept = W.dedupe_observations(_copies(load(spark, folder, "observations")))
     return kept.select(
-        "event_id", "metric_name", F.unix_micros("event_time").alias("event_us"), F.round("value", 6).alias("value")
+        "event_id", "metric_name", F.unix_micros("event_time").alias("event_us"), round6("value").alias("value")
     )
 
 
@@ -189,13 +189,13 @@ def aggregates(spark, folder):
 
 @query(
     "W5_sliced_quantiles",
-    """SELECT service, metric_name, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90,
-  round(quantile_cont(value, 0.99), 6) AS p99 FROM observations GROUP BY service, metric_name""",
+    """SELECT service, metric_name, r6(quantile_cont(value, 0.5)) AS p50, r6(quantile_cont(value, 0.9)) AS p90,
+  r6(quantile_cont(value, 0.99)) AS p99 FROM observations GROUP BY service, metric_name""",
     ("observations",),
 )
 def sliced(spark, folder):
     q = W.sliced_quantiles(load(spark, folder, "observations"), ["service", "metric_name"], "value", [0.5, 0.9, 0.99])
-    return q.select("service", "metric_name", *[F.round(F.col("quantiles")[i], 6).alias(n) for i, n in enumerate(("p50", "p90", "p99"))])
+    return q.select("service", "metric_name", *[round6(F.col("quantiles")[i]).alias(n) for i, n in enumerate(("p50", "p90", "p99"))])
 
 
 def _fill_cfg(strategy: str) -> W.FeatureConfig:
@@ -226,7 +226,7 @@ def _fill_expr(strategy: str, c: str) -> str:
 
 def _fill_query(strategy: str) -> str:
     cfg = _fill_cfg(strategy)
-    cols = ",\n  ".join(f"round({_fill_expr(strategy, c)}, 6) AS {c}" for c in cfg.columns)
+    cols = ",\n  ".join(f"r6({_fill_expr(strategy, c)}) AS {c}" for c in cfg.columns)
     return f"""WITH {windows_sql(cfg, FILL_KEYS)}
 SELECT environment, service, run_id, window_index, {cols} FROM agg"""
 
@@ -331,8 +331,8 @@ EXPORT = W.FeatureConfig(("latency_ms:mean", "requests_total:mean"), 6 * H, 6 *
     "W10_series_export",
     f"""WITH {windows_sql(EXPORT, FILL_KEYS)}
 SELECT environment, service, run_id, window_index, origin_us + window_index * {EXPORT.step_us} + {EXPORT.size_us} AS ds_us,
-  round(latency_ms__mean, 6) AS y, latency_ms__mean IS NULL AS is_missing,
-  round(requests_total__mean, 6) AS requests_total__mean FROM agg""",
+  r6(latency_ms__mean) AS y, latency_ms__mean IS NULL AS is_missing,
+  r6(requests_total__mean) AS requests_total__mean FROM agg""",
     ("observations",),
 )
 def series_export(spark, folder):
@@ -342,9 +342,9 @@ def series_export(spark, folder):
         *FILL_KEYS,
         "window_index",
         F.unix_micros("ds").alias("ds_us"),
-        F.round("y", 6).alias("y"),
+        round6("y").alias("y"),
         "is_missing",
-        F.round("requests_total__mean", 6).alias("requests_total__mean"),
+        round6("requests_total__mean").alias("requests_total__mean"),
     )
 
 
@@ -355,13 +355,13 @@ kept AS (SELECT * FROM agg WHERE latency_ms__mean IS NOT NULL AND requests_total
 @query(
     "W10_matrix_export",
     f"""{_KEPT}
-SELECT environment, service, run_id, window_index, round(latency_ms__mean, 6) AS v0, round(requests_total__mean, 6) AS v1 FROM kept""",
+SELECT environment, service, run_id, window_index, r6(latency_ms__mean) AS v0, r6(requests_total__mean) AS v1 FROM kept""",
     ("observations",),
 )
 def matrix_export(spark, folder):
     windows = W.extract(load(spark, folder, "observations"), EXPORT, FILL_KEYS)
     out = W.to_matrix(windows, EXPORT.columns, allow_incomplete=True)
-    return out.select(*FILL_KEYS, "window_index", *[F.round(F.col("vector")[i], 6).alias(f"v{i}") for i in (0, 1)])
+    return out.select(*FILL_KEYS, "window_index", *[round6(F.col("vector")[i]).alias(f"v{i}") for i in (0, 1)])
 
 
 @query(
@@ -371,7 +371,7 @@ r AS (SELECT *, count(*) OVER w AS n, min(window_index) OVER w AS first_window_i
   sum(latency_ms__mean) OVER w AS s0, first_value(requests_total__mean) OVER w AS f1 FROM kept
   WINDOW w AS (PARTITION BY environment, service, run_id ORDER BY window_index ROWS BETWEEN 3 PRECEDING AND CURRENT ROW))
 SELECT environment, service, run_id, first_window_index, window_index AS last_window_index,
-  round(s0, 6) AS sum_v0, round(f1, 6) AS first_v1 FROM r WHERE n = 4""",
+  r6(s0) AS sum_v0, r6(f1) AS first_v1 FROM r WHERE n = 4""",
     ("observations",),
 )
 def sequence_export(spark, folder):
@@ -382,8 +382,8 @@ def sequence_export(spark, folder):
         *FILL_KEYS,
         "first_window_index",
         F.col("window_index").alias("last_window_index"),
-        F.round(total, 6).alias("sum_v0"),
-        F.round(F.col("sequence")[0][1], 6).alias("first_v1"),
+        round6(total).alias("sum_v0"),
+        round6(F.col("sequence")[0][1]).alias("first_v1"),
     )
 
 
@@ -393,7 +393,7 @@ MERGED = W.FeatureConfig(("latency_ms:mean", "requests_total:p90"), 12 * H, 6 *
 @query(
     "W11_merged_series",
     f"""WITH {windows_sql(MERGED, ("run_id",))}
-SELECT run_id, window_index, sample_count, {", ".join(f"round(coalesce({c}, 0.0), 6) AS {c}" for c in MERGED.columns)} FROM agg""",
+SELECT run_id, window_index, sample_count, {", ".join(f"r6(coalesce({c}, 0.0)) AS {c}" for c in MERGED.columns)} FROM agg""",
     ("observations",),
 )
 def merged(spark, folder):

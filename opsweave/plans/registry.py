@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from opsweave.plans.inputs import with_views
 from opsweave.session import prepare
@@ -14,6 +15,27 @@ PLANS: dict[str, Plan] = {}
 ORACLES: dict[str, str] = {}
 
 
+# Values are compared at six decimals.  Averages of two-decimal data often end in an
+# exact 5 there, where the last bit of a sum would decide; the nudge moves off the tie.
+_NUDGE = 1e-9
+
+
+def round6(value: Column | str) -> Column:
+    return F.round((F.col(value) if isinstance(value, str) else value) + F.lit(_NUDGE), 6)
+
+
+def _expand_r6(sql: str) -> str:
+    """Rewrite ``r6(expr)`` in a check query to the same rounding."""
+    while match := re.search(r"\br6\(", sql):
+        depth, end = 1, match.end()
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        inner = sql[match.end() : end - 1]
+        sql = f"{sql[:match.start()]}round(({inner}) + {_NUDGE!r}, 6){sql[end:]}"
+    return sql
+
+
 def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
     """Register a plan; ``sql`` is the check query over ``views`` and the base tables."""
 
@@ -26,7 +48,7 @@ def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
 
         PLANS[name] = run
         if sql is not None:
-            ORACLES[name] = with_views(sql, *views)
+            ORACLES[name] = _expand_r6(with_views(sql, *views))
         return fn
 
     return register
