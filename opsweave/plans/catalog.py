@@ -1,6 +1,6 @@
 """Imports every plan module, which registers its queries."""
 
-from opsweave.plans import calibration, detectors, evaluation, features  # noqa: F401
+from opsweave.plans import calibration, detectors, evaluation, features, graph  # noqa: F401
 from opsweave.plans.registry import ORACLES, PLANS
 
 __all__ = ["ORACLES", "PLANS"]
