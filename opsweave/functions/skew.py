@@ -19,16 +19,17 @@ def lookup_join(
     how: str = "inner",
     max_broadcast_rows: int = MAX_BROADCAST_ROWS,
     salts: int = 64,
+    rows: int | None = None,
 ) -> DataFrame:
     """Join a large table to a per-key table without gathering a hot key in one task.
 
-    ``dim`` should be materialised (counting it must be cheap).  Its row count is
-    checked: a small one is broadcast, otherwise the join key is extended by a salt
+    ``dim`` should be materialised (counting it must be cheap).  Its row count, unless
+    the caller has it already in ``rows``, is checked: a small one is broadcast, otherwise the join key is extended by a salt
     hashed from ``salt_by`` and the dim row is repeated once per salt.  The salted
     output is partitioned by (keys, salt), so a later groupBy cannot silently reuse
     a partitioning in which the hot key sits in one task.
     """
-    if dim.count() <= max_broadcast_rows:
+    if (dim.count() if rows is None else rows) <= max_broadcast_rows:
         return fact.join(F.broadcast(dim), list(keys), how)
     salted_fact = fact.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int"))
     salted_dim = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

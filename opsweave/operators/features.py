@@ -100,13 +100,15 @@ def series_profile(obs: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def assign_windows(obs: DataFrame, profile: DataFrame, keys: Sequence[str], size_us: int, step_us: int) -> DataFrame:
+def assign_windows(
+    obs: DataFrame, profile: DataFrame, keys: Sequence[str], size_us: int, step_us: int, series: int | None = None
+) -> DataFrame:
     """One row per (observation, window it falls in), windows anchored at the series origin.
 
     Window i is [origin + i*step, origin + i*step + size).  The index range follows
     from integer arithmetic, so the cost is rows * size/step whatever the span.
     """
-    placed = lookup_join(obs, profile.select(*keys, "origin_us"), keys, ["event_id", "metric_name"])
+    placed = lookup_join(obs, profile.select(*keys, "origin_us"), keys, ["event_id", "metric_name"], rows=series)
     last = F.expr(f"(unix_micros(event_time) - origin_us) div {step_us}L")
     if size_us == step_us:
         return placed.withColumn("window_index", last)
@@ -276,12 +278,13 @@ def extract(obs: DataFrame, cfg: FeatureConfig, series_keys: Sequence[str] = SER
     """
     keys = list(series_keys)
     profile = materialise(series_profile(obs, keys))
+    series, largest = profile.agg(F.count(F.lit(1)), F.max("series_rows")).first()
     clean = dedupe_observations(obs) if dedupe else obs
-    assigned = assign_windows(clean, profile, keys, cfg.size_us, cfg.step_us)
+    assigned = assign_windows(clean, profile, keys, cfg.size_us, cfg.step_us, series)
     has_quantile = any(a in QUANTILES for _, _, a in cfg.parsed())
-    hot = profile.where(F.col("series_rows") > cfg.hot_rows).select(*keys)
-    if has_quantile and not cfg.approx and hot.take(1):
-        small = F.broadcast(hot)  # at most total/hot_rows keys
+    if has_quantile and not cfg.approx and (largest or 0) > cfg.hot_rows:
+        # At most total/hot_rows series are hot, so their list is tiny.
+        small = F.broadcast(profile.where(F.col("series_rows") > cfg.hot_rows).select(*keys))
         windows = window_aggregates(assigned.join(small, keys, "left_anti"), keys, cfg).unionByName(
             window_aggregates(assigned.join(small, keys, "left_semi"), keys, cfg, sliced=True)
         )
@@ -289,7 +292,7 @@ def extract(obs: DataFrame, cfg: FeatureConfig, series_keys: Sequence[str] = SER
         windows = window_aggregates(assigned, keys, cfg)
     grid = fill_grid(windows, keys, cfg.columns)
     graded = window_status(impute(grid, keys, cfg), cfg)
-    return _with_times(lookup_join(graded, profile.select(*keys, "origin_us"), keys, ["window_index"]), cfg)
+    return _with_times(lookup_join(graded, profile.select(*keys, "origin_us"), keys, ["window_index"], rows=series), cfg)
 
 
 def _with_times(windows: DataFrame, cfg: FeatureConfig) -> DataFrame:

@@ -31,7 +31,7 @@ def exact_quantiles(
     sizes = materialise(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
     hot = sizes.where(F.col("_n") > hot_rows).select(*keys)
     builtin = F.percentile(F.col(value), [float(q) for q in quantiles]).alias(out)
-    if not hot.take(1):
+    if (sizes.agg(F.max("_n")).first()[0] or 0) <= hot_rows:
         return rows.groupBy(*keys).agg(builtin)
     if not keys:
         return sliced_quantiles(rows, keys, value, quantiles, out)

@@ -357,3 +357,24 @@ def compare(spark, folder):
     left = E.normalise_run(t.select(*cols), starts).drop("event_id")
     right = E.normalise_run(t.where("kind <> 'system'").select(*cols), starts).drop("event_id")
     return E.compare_runs(left, right).select("side", "service", "metric_name", "severity", round6("offset_seconds").alias("offset_seconds"))
+
+
+def _evaluate(spark, folder):
+    from opsweave.operators.evaluate_models import EvaluationConfig, evaluate
+
+    obs = load(spark, folder, "observations")
+    split_at = F.lit("2024-01-15 00:00:00").cast("timestamp")
+    cfg = EvaluationConfig(
+        W.FeatureConfig(("latency_ms:mean", "requests_total:mean"), 6 * H, 6 * H), ("service", "run_id"), "service", "run_id",
+        refit_every=14, trees=25,
+    )
+    return evaluate(obs.where(F.col("event_time") < split_at), obs.where(F.col("event_time") >= split_at), _truth(spark, folder), cfg)
+
+
+@query("E19_evaluate_models")
+def evaluate_models(spark, folder):
+    out = _evaluate(spark, folder)
+    return out["models"].join(out["latency"], "model_name").select(
+        "model_name", "total_units", "tp", "fp", "tn", "fn", "success_units", "insufficient_units", "failure_units", "precision", "recall", "f1",
+        "false_positive_rate", "detected_scenarios",
+    )

@@ -372,16 +372,16 @@ SELECT count(*) FILTER (WHERE kind = 'publish') AS published_count, count(*) FIL
   count(*) FILTER (WHERE kind = 'quarantine') AS quarantined_count, count(*) FILTER (WHERE kind IN ('quarantine', 'failure')) AS failed_count,
   CAST(sum(retries) FILTER (WHERE kind = 'persist' AND retries > 0) AS BIGINT) AS retry_count,
   round(count(*) FILTER (WHERE kind IN ('persist', 'quarantine')) / 1000.0, 2) AS throughput_per_second,
-  round(quantile_cont(latency_ms, 0.5) FILTER (WHERE kind = 'publish' AND rn <= 1000), 2) AS publish_p50,
-  round(quantile_cont(latency_ms, 0.5) FILTER (WHERE kind = 'persist' AND rn <= 1000), 2) AS persistence_p50,
-  round(quantile_cont(e2e_ms, 0.5) FILTER (WHERE kind = 'persist' AND rn <= 1000), 2) AS e2e_p50 FROM n""",
+  round(quantile_cont(latency_ms, 0.5) FILTER (WHERE kind = 'publish' AND rn <= 1000), 3) AS publish_p50,
+  round(quantile_cont(latency_ms, 0.5) FILTER (WHERE kind = 'persist' AND rn <= 1000), 3) AS persistence_p50,
+  round(quantile_cont(e2e_ms, 0.5) FILTER (WHERE kind = 'persist' AND rn <= 1000), 3) AS e2e_p50 FROM n""",
     ("telemetry",),
 )
 def pipeline_summary(spark, folder):
     out = R.pipeline_summary(_operations(spark, folder), 1000.0)
     return out.select(
         "published_count", "persisted_count", "quarantined_count", "failed_count", "retry_count", "throughput_per_second",
-        *[F.round(F.col(f"{s}_latency_p50_ms"), 2).alias(f"{s}_p50") for s in ("publish", "persistence", "e2e")],
+        *[F.col(f"{s}_latency_p50_ms").alias(f"{s}_p50") for s in ("publish", "persistence", "e2e")],
     )
 
 
@@ -402,13 +402,13 @@ def percentiles(spark, folder):
 
 @query(
     "R3_end_to_end_latency",
-    """SELECT event_id, CASE WHEN kind <> 'system' THEN r6(greatest(CAST(0 AS DOUBLE), CAST(seed * 1000 - value AS DOUBLE))) END AS e2e_ms FROM telemetry""",
+    """SELECT event_id, CASE WHEN kind <> 'system' THEN round(greatest(CAST(0 AS DOUBLE), CAST(seed * 1000 - value AS DOUBLE)), 2) END AS e2e_ms FROM telemetry""",
     ("telemetry",),
 )
 def end_to_end(spark, folder):
     broker = F.when(F.col("kind") == "system", F.lit(0.0)).otherwise(F.lit(1.7e12))
     now = F.lit(1.7e12) + (F.col("seed") * 1000 - F.col("value"))
-    return load(spark, folder, "telemetry").select("event_id", F.round(R.end_to_end_ms(now, broker), 1).alias("e2e_ms"))
+    return load(spark, folder, "telemetry").select("event_id", F.round(R.end_to_end_ms(now, broker), 2).alias("e2e_ms"))
 
 
 @query(
