@@ -47,7 +47,7 @@ EVIDENCE_FIELDS = {
 
 def _field(name: str) -> Column:
     """Text of an envelope field."""
-    return F.col(f"_t_{name}")
+    return F.col(f"_t.{name}")
 
 
 def _kind(name: str) -> Column:
@@ -63,17 +63,19 @@ def parse_events(raw: DataFrame, strict: bool = False) -> DataFrame:
     and severity are required.  A missing event_id is derived from the record position,
     a missing event_time is the broker time.  ``strict`` also refuses unknown keys.
     """
-    text = F.col("value").cast("string")
-    checked = computed_once(raw, F.coalesce(F.is_valid_utf8(text), F.lit(False)).alias("_utf8"))
-    text = F.when(F.col("_utf8"), text)
-    keys = F.coalesce(F.json_object_keys(text), F.array().cast("array<string>"))
-    df = computed_once(checked, F.try_parse_json(text).alias("_v"), keys.alias("_keys"))
     names = ("schema_version", "event_id", "event_time", "tenant_id", "environment", "service", "event_type", "severity", "trace_id")
+    text = F.col("value").cast("string")
+    checked = computed_once(raw, F.when(F.is_valid_utf8(text), text).alias("_text"))
+    # One pass for the texts, one for keys and value kinds; both keep the last of repeated keys.
+    df = computed_once(
+        checked,
+        F.from_json("_text", ", ".join(f"{n} string" for n in names)).alias("_t"),
+        F.from_json("_text", "map<string, variant>").alias("_m"),
+    )
     df = computed_once(
         df,
-        *[F.try_variant_get("_v", f"$.{n}", "string").alias(f"_t_{n}") for n in names],
-        *[F.schema_of_variant(F.try_variant_get("_v", f"$.{n}", "variant")).alias(f"_k_{n}") for n in (*names, "payload")],
-        F.schema_of_variant("_v").alias("_k_root"),
+        F.coalesce(F.map_keys("_m"), F.array().cast("array<string>")).alias("_keys"),
+        *[F.schema_of_variant(F.col("_m")[n]).alias(f"_k_{n}") for n in (*names, "payload")],
     )
     position = uuid5(EVALUATION_NAMESPACE, joined("topic", "partition", "offset"))
     declared = F.array_contains("_keys", F.lit("schema_version"))
@@ -92,9 +94,11 @@ def parse_events(raw: DataFrame, strict: bool = False) -> DataFrame:
     known = F.array(*[F.lit(k) for k in ("schema_version", "event_id", "event_time", "tenant_id", "environment", "service",
                                          "event_type", "severity", "trace_id", "payload")])
     error = (
-        F.when(refuse(F.col("_utf8")), "value is not valid UTF-8")
-        .when(F.col("_v").isNull(), "value is not valid JSON")
-        .when(refuse(F.col("_k_root").startswith("OBJECT")), "JSON root must be an object")
+        F.when(F.col("_text").isNull(), "value is not valid UTF-8")
+        .when(
+            F.col("_m").isNull(),
+            F.when(F.try_parse_json("_text").isNull(), "value is not valid JSON").otherwise("JSON root must be an object"),
+        )
         .when(declared & refuse((_kind("schema_version") == "STRING") & (_field("schema_version") == "1.0")), "unsupported schema_version")
         .when(F.array_contains("_keys", F.lit("event_id")) & refuse(is_uuid(_field("event_id"))), "invalid event_id")
         .when(F.array_contains("_keys", F.lit("event_time")) & refuse(zoned & stamp.isNotNull()), "invalid event_time")
@@ -118,11 +122,11 @@ def parse_events(raw: DataFrame, strict: bool = False) -> DataFrame:
         _field("event_type").alias("event_type"),
         _field("severity").alias("severity"),
         _field("trace_id").alias("trace_id"),
-        F.try_variant_get("_v", "$.payload", "variant").alias("payload"),
+        F.col("_m")["payload"].alias("payload"),
     )
     graded = computed_once(df, error.alias("event_error"))
     out = computed_once(graded, F.when(F.col("event_error").isNull(), event).alias("event"))
-    return out.drop(*[c for c in out.columns if c.startswith(("_t_", "_k_"))], "_utf8", "_v", "_keys")
+    return out.drop(*[c for c in out.columns if c.startswith("_k_")], "_text", "_t", "_m", "_keys")
 
 
 def parse_context(raw: DataFrame) -> DataFrame:
@@ -133,33 +137,41 @@ def parse_context(raw: DataFrame) -> DataFrame:
     run_id a UUID and seed an integer in the unsigned 64-bit range.
     """
     wanted = (*CONTEXT_HEADERS, "producer_version")
-
-    def hits(name: str) -> Column:
-        return F.filter("headers", lambda h: h["key"] == name)
-
-    found = computed_once(raw, *[hits(n).alias(f"_h_{n}") for n in wanted])
+    found = computed_once(raw, F.col("headers.key").alias("_names"), F.reverse("headers.key").alias("_back"))
     found = computed_once(
         found,
-        *[F.greatest(F.size(f"_h_{n}"), F.lit(0)).alias(f"_n_{n}") for n in wanted],
-        *[F.try_element_at(F.col(f"_h_{n}"), F.lit(-1))["value"].cast("string").alias(f"_x_{n}") for n in wanted],
+        *[F.coalesce(F.array_position("_names", n), F.lit(0)).alias(f"_n_{n}") for n in wanted],
+        *[F.coalesce(F.array_position("_back", n), F.lit(0)).alias(f"_b_{n}") for n in wanted],
+    )
+    found = computed_once(
+        found,
+        *[F.try_element_at(F.col("headers"), F.greatest(F.col(f"_n_{n}"), F.lit(1)).cast("int"))["value"].cast("string").alias(f"_x_{n}") for n in wanted],
     )
-    count = {n: F.coalesce(F.col(f"_n_{n}"), F.lit(0)) for n in wanted}
+
+    def absent(name: str) -> Column:
+        return F.col(f"_n_{name}") == 0
+
+    def repeated(name: str) -> Column:
+        # A name seen once has the same place from both ends.
+        return ~absent(name) & (F.col(f"_n_{name}") + F.col(f"_b_{name}") != F.size("_names") + 1)
 
     def text(name: str) -> Column:
-        return F.col(f"_x_{name}")
+        return F.when(~absent(name), F.col(f"_x_{name}"))
+
+    def verdict(kind: str, message: str) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), F.lit(message).alias("note"))
 
-    kind = F.when(F.col("headers").isNull(), "missing")
-    note = F.when(F.col("headers").isNull(), "Record headers are missing")
+    bad = F.when(F.col("headers").isNull(), verdict("missing", "Record headers are missing"))
     for h in CONTEXT_HEADERS:
-        kind = kind.when(count[h] == 0, "missing").when(count[h] > 1, "duplicate")
-        note = note.when(count[h] == 0, f"Missing required execution header: '{h}'").when(count[h] > 1, f"Duplicate required execution header: '{h}'")
+        bad = bad.when(absent(h), verdict("missing", f"Missing required execution header: '{h}'"))
+        bad = bad.when(repeated(h), verdict("duplicate", f"Duplicate required execution header: '{h}'"))
     seed = text("seed")
     digits = F.regexp_replace(F.trim(seed), "_", "")
     integer = F.trim(seed).rlike(r"^[+-]?\d+(_\d+)*$")
     number = digits.try_cast("decimal(38,0)")
     in_range = F.coalesce((number >= 0) & (number <= F.lit(MAX_UINT64).cast("decimal(38,0)")), F.lit(False))
     problems = [
-        (count["producer_version"] > 1, "duplicate", "Duplicate execution header: 'producer_version'"),
+        (repeated("producer_version"), "duplicate", "Duplicate execution header: 'producer_version'"),
         (F.exists("headers", lambda h: ~F.is_valid_utf8(h["value"].cast("string"))), "invalid", "Header contains invalid UTF-8 bytes"),
         *[(text(h) == "", "invalid", f"Header '{h}' cannot be empty") for h in ("scenario_id", "scenario_version", "reproducibility_key", "run_id")],
         (~is_uuid(text("run_id")), "invalid", "Header 'run_id' is not a valid UUID"),
@@ -168,7 +180,7 @@ def parse_context(raw: DataFrame) -> DataFrame:
         (~in_range, "invalid", "Header 'seed' must be in range [0, 2^64 - 1]"),
     ]
     for cond, label, message in problems:
-        kind, note = kind.when(cond, label), note.when(cond, message)
+        bad = bad.when(cond, verdict(label, message))
     ctx = F.struct(
         F.lower(text("run_id")).alias("run_id"),
         text("scenario_id").alias("scenario_id"),
@@ -176,12 +188,13 @@ def parse_context(raw: DataFrame) -> DataFrame:
         text("reproducibility_key").alias("reproducibility_key"),
         number.cast("decimal(20,0)").alias("seed"),
     )
-    graded = computed_once(found, kind.alias("header_error_type"), note.alias("header_error"))
-    fine = F.col("header_error").isNull()
+    graded = computed_once(found, bad.alias("_bad"))
+    fine = F.col("_bad").isNull()
     out = computed_once(
-        graded, F.when(fine, ctx).alias("ctx"), F.when(fine, F.nullif(text("producer_version"), F.lit(""))).alias("producer_version")
+        graded, F.col("_bad.kind").alias("header_error_type"), F.col("_bad.note").alias("header_error"),
+        F.when(fine, ctx).alias("ctx"), F.when(fine, F.nullif(text("producer_version"), F.lit(""))).alias("producer_version"),
     )
-    return out.drop(*[c for c in out.columns if c.startswith(("_h_", "_n_", "_x_"))])
+    return out.drop(*[c for c in out.columns if c.startswith(("_n_", "_b_", "_x_"))], "_names", "_back", "_bad")
 
 
 def route_error(event_type: Column, topic: Column, topics: Mapping[str, str] = TOPICS, allowed: Sequence[str] | None = None) -> Column:
