@@ -316,31 +316,17 @@ def extract_metrics(events: DataFrame) -> DataFrame:
     """
     p = F.col("event.payload")
 
-    events = computed_once(
-        events,
-        *[F.try_variant_get(p, f"$.{n}", "string").alias(f"_{n}") for n in ("metric_name", "status_code", "outcome")],
-        *[F.schema_of_variant(F.try_variant_get(p, f"$.{n}", "variant")).alias(f"_k_{n}") for n in ("metric_name", "value")],
-        F.try_variant_get(p, "$.value", "double").alias("_number"),
-        F.try_variant_get(p, "$.value", "boolean").alias("_flag"),
-    )
-
     def get(name: str, kind: str) -> Column:
-        return F.col({"double": "_number", "boolean": "_flag"}.get(kind, f"_{name}"))
+        return F.try_variant_get(p, f"$.{name}", kind)
 
     def kind_of(name: str) -> Column:
-        return F.col(f"_k_{name}")
+        return F.schema_of_variant(F.try_variant_get(p, f"$.{name}", "variant"))
 
     name_ok = (kind_of("metric_name") == "STRING") & (F.trim(get("metric_name", "string")) != "")
     value_kind = kind_of("value")
     number = F.when(value_kind == "BOOLEAN", get("value", "boolean").cast("double")).when(
         value_kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), get("value", "double")
     )
-    # Flat copies: the fields are read twice below, as labels and as columns.
-    event_fields, ctx_fields = ("event_id", "event_time", "service", "tenant_id", "environment"), ("run_id", "scenario_id", "seed")
-    events = computed_once(
-        events, number.alias("_value"), *[F.col(f"event.{c}").alias(f"_e_{c}") for c in event_fields], *[F.col(f"ctx.{c}").alias(f"_e_{c}") for c in ctx_fields]
-    )
-    number = F.col("_value")
     error = (
         F.when(~F.coalesce(name_ok, F.lit(False)), "metric_name must be a non-empty string")
         .when(value_kind.isNull() | number.isNull(), "value must be a number or boolean")
@@ -349,13 +335,13 @@ def extract_metrics(events: DataFrame) -> DataFrame:
     labels = F.map_filter(
         F.create_map(
             F.lit("__name__"), get("metric_name", "string"),
-            F.lit("service"), F.col("_e_service"),
-            F.lit("tenant_id"), F.col("_e_tenant_id"),
-            F.lit("environment"), F.col("_e_environment"),
-            F.lit("run_id"), F.col("_e_run_id"),
-            F.lit("scenario_id"), F.col("_e_scenario_id"),
-            F.lit("seed"), F.col("_e_seed").cast("string"),
-            F.lit("event_id"), F.col("_e_event_id"),
+            F.lit("service"), F.col("event.service"),
+            F.lit("tenant_id"), F.col("event.tenant_id"),
+            F.lit("environment"), F.col("event.environment"),
+            F.lit("run_id"), F.col("ctx.run_id"),
+            F.lit("scenario_id"), F.col("ctx.scenario_id"),
+            F.lit("seed"), F.col("ctx.seed").cast("string"),
+            F.lit("event_id"), F.col("event.event_id"),
             F.lit("status_code"), get("status_code", "string"),
             F.lit("outcome"), get("outcome", "string"),
         ),
@@ -365,15 +351,15 @@ def extract_metrics(events: DataFrame) -> DataFrame:
         get("metric_name", "string").alias("metric"),
         number.alias("value"),
         labels.alias("labels"),
-        F.expr("unix_micros(_e_event_time) div 1000L").alias("timestamp_ms"),
-        F.col("_e_event_time").alias("timestamp"),
-        F.col("_e_event_id").alias("event_id"),
-        F.col("_e_service").alias("service"),
-        F.col("_e_tenant_id").alias("tenant_id"),
-        F.col("_e_environment").alias("environment"),
-        F.col("_e_run_id").alias("run_id"),
-        F.col("_e_scenario_id").alias("scenario_id"),
-        F.col("_e_seed").alias("seed"),
+        F.expr("unix_micros(event.event_time) div 1000L").alias("timestamp_ms"),
+        F.col("event.event_time").alias("timestamp"),
+        F.col("event.event_id").alias("event_id"),
+        F.col("event.service").alias("service"),
+        F.col("event.tenant_id").alias("tenant_id"),
+        F.col("event.environment").alias("environment"),
+        F.col("ctx.run_id").alias("run_id"),
+        F.col("ctx.scenario_id").alias("scenario_id"),
+        F.col("ctx.seed").alias("seed"),
         get("status_code", "string").alias("status_code"),
         get("outcome", "string").alias("outcome"),
         error.alias("metric_error"),

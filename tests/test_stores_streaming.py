@@ -125,7 +125,7 @@ def test_topic_files_keep_keys_together(spark, raw, tmp_path):
     stores.write_topic_files(records, str(tmp_path / "topics"))
     back = spark.read.parquet(str(tmp_path / "topics"))
     assert back.count() == records.count()
-    spread = back.groupBy("topic", "key").agg(F.countDistinct(F.input_file_name()).alias("files"))
+    spread = back.select("topic", "key", F.input_file_name().alias("f")).groupBy("topic", "key").agg(F.countDistinct("f").alias("files"))
     assert spread.agg(F.max("files")).first()[0] == 1
 
 
@@ -135,7 +135,7 @@ def test_ingest_stream_equals_batch(spark, raw, tmp_path):
     seen = []
     sinks = SI.Sinks(str(tmp_path / "m"), str(tmp_path / "e"), str(tmp_path / "q"), lambda good, i: seen.append((i, good.count())))
     query = SI.start_ingest(stream, sinks, str(tmp_path / "ckpt"))
-    query.awaitTermination()
+    assert query.awaitTermination(100)
     good, bad = S.split_quarantine(source)
     samples = S.extract_metrics(good.where("event.event_type = 'metric'")).where("metric_error IS NULL")
     ids = lambda df, c: sorted(r[0] for r in df.select(c).collect())
@@ -151,9 +151,8 @@ def _stream(spark, df, path):
 
 
 def _drain(df, name, mode="append"):
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).start()
-    query.processAllAvailable()
-    query.stop()
+    query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    assert query.awaitTermination(100)
     return df.sparkSession.table(name)
 
 
