@@ -63,12 +63,13 @@ def split_late(batch: DataFrame, watermark, cfg: CorrelationConfig) -> tuple[Dat
 INTAKE_SCHEMA = "signal_id string, semantic_fingerprint string, disposition string"
 
 
-def intake(signals: DataFrame, ttl_ms: int = 3_600_000) -> DataFrame:
+def intake(signals: DataFrame, ttl_ms: int | None = 3_600_000) -> DataFrame:
     """Streaming dedupe by signal_id that also reports conflicts.
 
     Emits accepted for the first fingerprint of an id, duplicate for a repetition and
     conflict for another fingerprint.  The only state is one fingerprint per id, dropped
-    ``ttl_ms`` after the last sighting.  Needs signal_id and semantic_fingerprint.
+    ``ttl_ms`` after the last sighting (None keeps it; with a time limit the query keeps
+    checking timeouts and does not stop by itself).  Needs signal_id and semantic_fingerprint.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -89,8 +90,10 @@ def intake(signals: DataFrame, ttl_ms: int = 3_600_000) -> DataFrame:
             yield pd.DataFrame({"signal_id": key[0], "semantic_fingerprint": prints, "disposition": said})
         if known is not None:
             state.update((known,))
-            state.setTimeoutDuration(ttl_ms)
+            if ttl_ms is not None:
+                state.setTimeoutDuration(ttl_ms)
 
+    timeout = GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.ProcessingTimeTimeout
     return signals.select("signal_id", "semantic_fingerprint").groupBy("signal_id").applyInPandasWithState(
-        step, INTAKE_SCHEMA, "fingerprint string", "append", GroupStateTimeout.ProcessingTimeTimeout
+        step, INTAKE_SCHEMA, "fingerprint string", "append", timeout
     )

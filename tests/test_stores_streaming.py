@@ -145,8 +145,8 @@ def test_ingest_stream_equals_batch(spark, raw, tmp_path):
     assert ids(spark.read.schema(QF.SCHEMA).json(str(tmp_path / "q" / "*")), "quarantine_id") == ids(bad, "quarantine_id")
 
 
-def _stream(spark, df, path):
-    df.repartition(3).write.parquet(path)
+def _stream(spark, df, path, files=3):
+    df.repartition(files).write.parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
@@ -170,7 +170,7 @@ def test_streaming_windows_equal_batch_windows(spark, tmp_path):
 def test_streaming_intake_reports_duplicates_and_conflicts(spark, tmp_path):
     rows = [("a", "x"), ("a", "x"), ("b", "y"), ("b", "z"), ("c", "w")]
     df = spark.createDataFrame(rows, "signal_id string, semantic_fingerprint string")
-    got = _drain(SW.intake(_stream(spark, df, str(tmp_path / "sig"))), "intake_stream")
+    got = _drain(SW.intake(_stream(spark, df, str(tmp_path / "sig")), ttl_ms=None), "intake_stream")
     out = sorted((r.signal_id, r.disposition) for r in got.collect())
     assert out == [("a", "accepted"), ("a", "duplicate"), ("b", "accepted"), ("b", "conflict"), ("c", "accepted")]
 
@@ -185,5 +185,5 @@ def test_late_split_follows_the_policy(spark):
 def test_streaming_sessions(spark, tmp_path):
     rows = [("k", 0, "info"), ("k", 50, "error"), ("k", 500, "debug"), ("k", 100_000, "info")]
     df = spark.createDataFrame(rows, "key string, t long, severity string").withColumn("event_time", F.timestamp_seconds("t")).drop("t")
-    got = _drain(SW.signal_sessions(_stream(spark, df, str(tmp_path / "s")), ["key"], 100, "1000 seconds"), "session_stream")
+    got = _drain(SW.signal_sessions(_stream(spark, df, str(tmp_path / "s"), files=1), ["key"], 100, "1000 seconds"), "session_stream")
     assert sorted((r.signals, r.severity) for r in got.collect()) == [(1, "debug"), (2, "error")]
