@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -33,14 +34,6 @@ def fingerprint(text: Column | str = "text") -> Column:
     return F.xxhash64(text)
 
 
-def same_document(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = ("doc_id", "fp")) -> Column:
-    """Null-safe equality on the keys, so that rows without an id find their own."""
-    test = F.lit(True)
-    for key in keys:
-        test = test & left[key].eqNullSafe(right[key])
-    return test
-
-
 def small_side(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Mark a materialised table for broadcast if its counted size allows it.
 
@@ -53,3 +46,8 @@ def small_side(df: DataFrame, rows: int | None = None) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Run the plan once; later steps read its reliable checkpoint."""
     return materialise(df)
+
+
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once per row, also where lambdas use it often."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

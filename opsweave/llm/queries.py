@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from opsweave.llm import secrets, token_counts, token_files
+from opsweave.llm import chat, decontaminate, disclosure, licences, line_quality, mixing, order_minhash, secrets, token_counts, token_files
 from opsweave.llm.common import shared_folder, table
 from opsweave.session import prepare
 
@@ -26,11 +26,36 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_order_minhash")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return order_minhash.near_duplicates(table(spark, folder, "documents")).select("doc_id", "class_id", "n_links")
+
+
+@query("op2_template_leaks")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("fp")
+
+
+@query("op3_line_frequency", line_quality.oracle())
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return line_quality.judge(table(spark, folder, "documents"))[0].drop("fp")
+
+
 @query("op4_secret_scan")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.secret_digest(secrets.scan_secrets(table(spark, folder, "documents")))
 
 
+@query("op5_licence_dice", licences.oracle())
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.licence_digest(licences.scan_licences(table(spark, folder, "documents")))
+
+
+@query("op6_disclosure")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return disclosure.disclosure_digest(disclosure.find_disclosures(table(spark, folder, "documents")))
+
+
 @query("op7_token_files")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     vocabulary, out = public_tokenizers.path("word_bpe_49k.json"), shared_folder(spark, "tokens")
@@ -38,6 +63,26 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read_token_files(spark, out, vocabulary)
 
 
+# The contract's conversation of control strings, added to the table.
+CONTROL_CHAT = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+@query("op8_chat_masks")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame(CONTROL_CHAT, "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.format_chats(turns.unionByName(extra), public_tokenizers.path("byte_bpe_50k.json")))
+
+
+@query("op9_weighted_mix")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    rated = mixing.label_quality(docs, labels).select("_row.*", "_quality").select("doc_id", "text", "source", F.col("_quality").alias("quality"))
+    mixed = mixing.copies(rated, mixing.plan_mix(rated, F.col("quality")), F.col("quality"))
+    mix = F.col("mix")
+    return mixed.select(F.col("_row.doc_id").alias("doc_id"), mix["size"].alias("size"), mix["source_size"].alias("source_size"), mix["target"].alias("target"), (mix["size"] * mix["copies"]).cast("long").alias("taken"))
+
+
 CONTEXT_TOKENS = 4096
 
 
