@@ -14,28 +14,35 @@ memory where the folder is a local path, and read them as streams elsewhere.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from opsweave.session import shuffle_partitions
 
 MANIFEST = "part int, first_null long, n_docs long, n_tokens long"
-CACHE_WORDS = 400_000
-_WORDS: dict[bytes, dict[str, bytes]] = {}
+CACHE_WORDS = 300_000
+CACHE_STEMS = 500_000
+_WORDS: dict[bytes, tuple[dict[str, bytes], dict[str, bytes]]] = {}
+# Most words are Latin letters with marks behind; the marks are tokens of their own.
+LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, [*range(0xDF, 0xF7), *range(0xF8, 0x100)]))
+SIMPLE = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,;:!?|#$%&*()]*)")
 
 
 @dataclass(frozen=True)
 class WordEncoder:
-    """Encodes texts with a tokenizers file, each distinct word once while it is cached.
+    """Encodes texts with a tokenizers file.
 
-    Only for vocabularies whose pre-tokenizer drops white space and never joins across
-    it: the ids of a text are then those of its words in order.  ``check`` tells.
+    If its pre-tokenizer drops white space, the ids of a text are those of its words in
+    order, and each distinct word is encoded once while it is cached; a word of Latin letters
+    with marks behind is put together from the two.  Other vocabularies get whole texts.
     """
 
     vocabulary: bytes
@@ -55,13 +62,27 @@ class WordEncoder:
     def dtype(self) -> np.dtype:
         return np.dtype("<u2" if self.width == 2 else "<u4")
 
+    @staticmethod
+    def letters(tokenizer) -> dict[int, str] | None:
+        """How the model writes Latin letters, if words of them go to it in lower case and alone."""
+        from tokenizers import pre_tokenizers
+
+        byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        table = {ord(c): byte_level.pre_tokenize_str(c)[0][0] for c in LETTERS}
+        for word in [LETTERS, *(f"{a}{b}" for a in "aeio\xe9\xfc" for b in LETTERS), "The", "\xc9t\xe9"]:
+            apart = [t.id for t in tokenizer.model.tokenize(word.lower().translate(table))] + tokenizer.encode(",.", add_special_tokens=False).ids
+            if tokenizer.encode(f"{word},.", add_special_tokens=False).ids != apart:
+                return None
+        return table
+
     def encoder(self):
         """A function from texts to the bytes of their ids."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core already
         from tokenizers import Tokenizer
 
         tokenizer, dtype = Tokenizer.from_str(self.vocabulary.decode("utf-8")), self.dtype
-        cache = _WORDS.setdefault(self.key, {"": b""})
+        cache, stems = _WORDS.setdefault(self.key, ({"": b""}, {}))
+        letters = self.letters(tokenizer)
         joins = bool(len(tokenizer.encode("a b", add_special_tokens=False).ids) - 2)  # white space yields ids of its own
 
         def whole(texts: list[str]) -> list[bytes]:
@@ -72,10 +93,25 @@ class WordEncoder:
             if len(cache) > CACHE_WORDS:
                 cache.clear()
                 cache[""] = b""
-            new = list({w for p in parts for w in p if w not in cache})
-            for start in range(0, len(new), 50_000):
-                some = new[start : start + 50_000]
-                cache.update(zip(some, whole(some)))
+            if len(stems) > CACHE_STEMS:
+                stems.clear()
+            odd: list[str] = []
+            for word in {w for p in parts for w in p if w not in cache}:
+                simple = SIMPLE.fullmatch(word) if letters is not None else None
+                if simple is None:
+                    odd.append(word)
+                    continue
+                stem, marks = simple[1].lower(), simple[2]
+                coded = stems.get(stem)
+                if coded is None:
+                    coded = stems[stem] = np.asarray([t.id for t in tokenizer.model.tokenize(stem.translate(letters))], dtype).tobytes()
+                if marks:
+                    if marks not in stems:
+                        stems[marks] = whole([marks])[0]
+                    coded += stems[marks]
+                cache[word] = coded
+            for start in range(0, len(odd), 50_000):
+                cache.update(zip(odd[start : start + 50_000], whole(odd[start : start + 50_000])))
             return [b"".join([cache[w] for w in p]) for p in parts]
 
         return whole if joins else words
@@ -110,7 +146,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     ordered = source.repartitionByRange(n, "doc_id", "fp").sortWithinPartitions("doc_id", "fp", "text").select("doc_id", "text")
     shipped = spark.sparkContext.broadcast(code)
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, context = shipped.value, TaskContext.get()
         encode, dtype = code.encoder(), code.dtype
         end = np.asarray([end_id], dtype).tobytes()
@@ -123,14 +159,14 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         nulls = 0
         partial = f"{path}.bin.{attempt}.partial"
         with filesystem.open_output_stream(partial) as out:
-            for pdf in batches:
-                for start in range(0, len(pdf), 1000):
-                    some = pdf.iloc[start : start + 1000]
-                    coded = encode(some["text"].tolist())
+            for batch in batches:
+                texts = batch.column("text").to_pylist()
+                for start in range(0, len(texts), 1000):
+                    coded = encode(texts[start : start + 1000])
                     out.write(b"".join([c + end for c in coded]))
                     lengths.append(np.fromiter((len(c) // code.width + 1 for c in coded), "<i8", len(coded)))
-                nulls += int(pdf["doc_id"].isna().sum())
-                ids.append(pdf["doc_id"].fillna(0).to_numpy("<i8"))
+                nulls += batch.column("doc_id").null_count
+                ids.append(batch.column("doc_id").fill_null(0).to_numpy().astype("<i8"))
         if not lengths:
             filesystem.delete_file(partial)
             return
@@ -138,9 +174,10 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         offsets = np.concatenate([np.zeros(1, "<i8"), np.cumsum(np.concatenate(lengths))]).astype("<i8")
         _write(filesystem, f"{path}.idx", attempt, [offsets.tobytes()])
         _write(filesystem, f"{path}.doc", attempt, [x.tobytes() for x in ids])
-        yield pd.DataFrame({"part": [part], "first_null": [nulls], "n_docs": [len(offsets) - 1], "n_tokens": [int(offsets[-1])]})
+        row = pa.array([part], pa.int32()), *(pa.array([v], pa.int64()) for v in (nulls, len(offsets) - 1, int(offsets[-1])))
+        yield pa.RecordBatch.from_arrays(list(row), names=["part", "first_null", "n_docs", "n_tokens"])
 
-    ordered.mapInPandas(write, MANIFEST).write.parquet(f"{folder}/manifest")
+    ordered.mapInArrow(write, MANIFEST).write.parquet(f"{folder}/manifest")
 
 
 def partition_bases(manifest: DataFrame) -> DataFrame:
