@@ -14,7 +14,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 # The patterns of the contract, kinds in order.
@@ -45,8 +45,8 @@ WINDOW = 24
 ALLOW = (
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
     r"(?:sha(?:1|256|384|512)|md5)[:=-][A-Za-z0-9+/=]+",
-    r"[A-Za-z]+://[^\x20\x09-\x0D]+",
-    r"[A-Za-z]+(?:[-_/][A-Za-z]+)+",
+    r"(?<![A-Za-z])[A-Za-z]++://[^\x20\x09-\x0D]+",
+    r"(?<![A-Za-z])[A-Za-z]++(?:[-_/][A-Za-z]++)++",
 )
 
 SPAN = "array<struct<kind:string,start:long,end:long>>"
@@ -127,15 +127,17 @@ def scan_secrets(docs: DataFrame, classes=CLASSES, width: int = WINDOW, allow: t
     null ids give a row each, other columns are not read.  Long texts are scanned whole.
     """
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = [(re.compile(c.pattern), c.bits) for c in classes]
         allowed = re.compile("|".join(f"(?:{a})" for a in allow)) if allow else None
-        for pdf in batches:
-            spans = [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in scan_text(t or "", compiled, width, allowed)] for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "spans": spans})
+        for batch in batches:
+            spans = [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in scan_text(t, compiled, width, allowed)] for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(spans, span)], names=["doc_id", "spans"])
 
-    source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return source.mapInPandas(scan, f"doc_id long, spans {SPAN}")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return source.mapInArrow(scan, f"doc_id long, spans {SPAN}")
 
 
 def secret_digest(scanned: DataFrame) -> DataFrame:
