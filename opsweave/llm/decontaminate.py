@@ -62,16 +62,39 @@ def window_hashes(words: Column, width: int) -> Column:
     return F.when(F.size(words) >= width, whole).otherwise(F.array().cast("array<long>"))
 
 
-def benchmark_windows(benchmark: DataFrame, rules: TemplateRules) -> DataFrame:
-    """item_id, at, h, raw and plain words of every specific window, and n_item, the item's number of them."""
-    plain = benchmark.where("item_id IS NOT NULL").select("item_id", tokens(F.col("text")).alias("raw")).distinct().withColumn("plain", F.transform("raw", lambda w: canonical(w)))
-    spread = plain.select("item_id", "raw", "plain", F.posexplode(window_hashes(F.col("plain"), rules.width)).alias("at", "h"))
-    part = lambda c: F.slice(c, F.col("at") + 1, rules.width)
-    windows = spread.select("item_id", "at", "h", part("raw").alias("raw"), part("plain").alias("plain"))
-    literal = F.size(F.filter("plain", lambda w: ~w.isin(NUMBER, UNIT, NAME)))
-    specific = windows.where(literal >= rules.literals)
-    counts = specific.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_item"))
-    return cut(specific.join(counts, "item_id"))
+def benchmark_items(benchmark: DataFrame, rules: TemplateRules) -> tuple[DataFrame, DataFrame]:
+    """Items (key, item_id, raw, plain, n_item) and their specific windows (h, key, at, length).
+
+    ``key`` tells texts of one item_id apart, n_item is a text's number of specific windows.
+    """
+    worded = benchmark.where("item_id IS NOT NULL").select("item_id", tokens(F.col("text")).alias("raw")).distinct()
+    plain = cut(worded.select(F.xxhash64("item_id", "raw").alias("key"), "item_id", "raw", F.transform("raw", lambda w: canonical(w)).alias("plain")))
+    spread = plain.select("key", "plain", F.posexplode(window_hashes(F.col("plain"), rules.width)).alias("at", "h"))
+    literal = F.size(F.filter(F.slice("plain", F.col("at") + 1, rules.width), lambda w: ~w.isin(NUMBER, UNIT, NAME)))
+    windows = cut(spread.where(literal >= rules.literals).select("h", "key", "at", F.size("plain").alias("length")))
+    return cut(plain.join(windows.groupBy("key").agg(F.count(F.lit(1)).alias("n_item")), "key")), windows
+
+
+def _aligned(width: int) -> tuple[Column, Column]:
+    """(windows, slots) of a row with own words, the item's ``theirs`` and ``plain``, and hit places ``ats``.
+
+    Windows are the places where all words agree as templates; slots are those that such a
+    window covers, specific or not, as (kind, value in the item, value in the document).
+    """
+    same = F.zip_with("plain", F.transform("own", lambda w: canonical(w)), lambda b, d: b == d)
+
+    def whole(equal: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(equal) - (width - 1)), lambda i: F.forall(F.slice(equal, i, width), lambda e: e))
+
+    def windows(good: Column) -> Column:
+        return F.filter("ats", lambda at: F.get(good, at))
+
+    def slots(good: Column) -> Column:
+        at = F.transform("plain", lambda kind, i: F.struct(kind.alias("kind"), F.get("theirs", i).alias("item"), F.get("own", i).alias("doc"), F.slice(good, F.greatest(i - (width - 2), F.lit(1)), F.least(i + 1, F.lit(width))).alias("near")))
+        used = F.filter(at, lambda s: s["kind"].isin(NUMBER, UNIT, NAME) & F.exists(s["near"], lambda g: g))
+        return F.array_distinct(F.transform(used, lambda s: F.struct(s["kind"], s["item"], s["doc"])))
+
+    return bind(bind(same, whole), windows), bind(bind(same, whole), slots)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, rules: TemplateRules = TemplateRules()) -> DataFrame:
@@ -82,35 +105,30 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rules: TemplateRules = Tem
     with fewer literal words than the rules ask for, or without an id, are not looked for.
     Repeated rows give one result.  Rows of one id with different texts are told apart by fp.
     """
-    bench = benchmark_windows(benchmark, rules)
-    n = bench.count()
-    keys = bench.select("h", "item_id", "at")
+    items, windows = benchmark_items(benchmark, rules)
     doc = docs.select("doc_id", fingerprint().alias("fp"), F.posexplode(bind(F.transform(tokens(F.col("text")), lambda w: canonical(w)), lambda words: window_hashes(words, rules.width))).alias("pos", "h"))
-    hits = doc.join(small_side(keys, n), "h").select("doc_id", "fp", "pos", "item_id", "at").distinct()
-    per_doc = cut(hits.groupBy("doc_id", "fp").agg(F.collect_list(F.struct("item_id", "at", "pos")).alias("hits")))
+    hits = doc.join(small_side(windows), "h").groupBy("doc_id", "fp", "key", "length", (F.col("pos") - F.col("at")).alias("shift")).agg(F.collect_set("at").alias("ats"))
+    per_doc = cut(hits.groupBy(F.col("doc_id").alias("_doc"), F.col("fp").alias("_fp")).agg(F.collect_list(F.struct("key", "length", "shift", "ats")).alias("hits")))
 
-    found = per_doc.select(F.col("doc_id").alias("_doc"), F.col("fp").alias("_fp"))
     text = docs.select("doc_id", "text", fingerprint().alias("fp"))
-    hit_texts = text.join(small_side(found), text["doc_id"].eqNullSafe(F.col("_doc")) & (text["fp"] == F.col("_fp")), "left_semi").dropDuplicates(["doc_id", "fp"])
-    own = per_doc.select(F.col("doc_id").alias("_doc"), F.col("fp").alias("_fp"), "hits")
-    joined = hit_texts.join(own, hit_texts["doc_id"].eqNullSafe(F.col("_doc")) & (hit_texts["fp"] == F.col("_fp")))
+    own = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("fp") == F.col("_fp"))
+    read_again = text.join(small_side(per_doc.select("_doc", "_fp")), own, "left_semi").dropDuplicates(["doc_id", "fp"]).join(per_doc, own)
 
     def cut_out(raw: Column) -> Column:
-        return F.transform("hits", lambda h: F.struct(h["item_id"].alias("item_id"), h["at"].alias("at"), h["pos"].alias("pos"), F.slice(raw, h["pos"] + 1, rules.width).alias("own")))
-
-    met = joined.select("doc_id", "fp", F.explode(bind(tokens(F.col("text")), cut_out)).alias("m"))
-    met = met.select("doc_id", "fp", F.col("m.item_id").alias("item_id"), F.col("m.at").alias("at"), F.col("m.pos").alias("pos"), F.col("m.own").alias("own"))
-    same = met.join(small_side(bench.select("item_id", "at", F.col("raw").alias("theirs"), "plain", "n_item"), n), ["item_id", "at"]).where(F.transform("own", lambda w: canonical(w)) == F.col("plain"))
-    # slots as (type, value in the item, value in the document)
-    slots = F.filter(F.zip_with(F.arrays_zip("plain", "theirs"), "own", lambda b, d: F.struct(b["plain"].alias("kind"), b["theirs"].alias("item"), d.alias("doc"))), lambda s: s["kind"].isin(NUMBER, UNIT, NAME))
-    aligned = same.groupBy("doc_id", "fp", "item_id", (F.col("pos") - F.col("at")).alias("shift")).agg(
-        F.countDistinct("at").alias("n_windows"), F.max("n_item").alias("n_item"), F.array_distinct(F.flatten(F.collect_set(slots))).alias("slots"))
+        first = lambda h: F.greatest(-h["shift"], F.lit(0))
+        return F.transform("hits", lambda h: F.struct(h["key"].alias("key"), first(h).alias("first"), F.transform(h["ats"], lambda at: at - first(h)).alias("ats"), F.slice(raw, h["shift"] + first(h) + 1, h["length"] - first(h)).alias("own")))
+
+    met = read_again.select("doc_id", "fp", F.explode(bind(tokens(F.col("text")), cut_out)).alias("m")).select("doc_id", "fp", "m.*")
+    part = lambda c: F.slice(c, F.col("first") + 1, F.size("own"))
+    placed = met.join(small_side(items), "key").select("doc_id", "fp", "item_id", "n_item", "ats", "own", part("raw").alias("theirs"), part("plain").alias("plain"))
+    found, slots = _aligned(rules.width)
+    judged = placed.select("doc_id", "fp", "item_id", "n_item", F.size(found).alias("n_windows"), slots.alias("slots"))
     values = F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["item"]))))
     changed = F.size(F.filter("slots", lambda s: s["item"] != s["doc"]))
     enough = F.col("n_windows") >= F.least(F.lit(rules.windows), F.col("n_item"))
-    leaks = aligned.where((values == F.size("slots")) & enough).select("doc_id", "fp", "item_id", F.struct("n_windows", "n_item", (-changed).alias("minus_changed"), values.alias("n_slots")).alias("best"))
+    leaks = judged.where((values == F.size("slots")) & enough).select("doc_id", "fp", "item_id", F.struct(F.col("n_windows").cast("long").alias("n_windows"), "n_item", (-changed).cast("long").alias("minus_changed"), values.cast("long").alias("n_slots")).alias("best"))
     top = leaks.groupBy("doc_id", "fp", "item_id").agg(F.max("best").alias("best"))
-    return top.select("doc_id", "fp", "item_id", F.col("best.n_windows").alias("n_windows"), F.col("best.n_item").alias("n_item"), F.col("best.n_slots").cast("long").alias("n_slots"), (-F.col("best.minus_changed")).cast("long").alias("n_changed"))
+    return top.select("doc_id", "fp", "item_id", F.col("best.n_windows").alias("n_windows"), F.col("best.n_item").alias("n_item"), F.col("best.n_slots").alias("n_slots"), (-F.col("best.minus_changed")).alias("n_changed"))
 
 
 def without_leaks(docs: DataFrame, leaks: DataFrame) -> DataFrame:
