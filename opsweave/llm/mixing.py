@@ -62,42 +62,54 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_
     return weighed.select("source", "source_size", F.least(cap.cast("double"), F.col("_weight") * F.lit(float(level))).alias("target"))
 
 
-def plan_mix(docs: DataFrame, quality: Column | None = None, weights: tuple[int, ...] = WEIGHTS, most_epochs: int = MOST_EPOCHS, seed: str = SEED) -> DataFrame:
+def sized(docs: DataFrame, *more: Column | str) -> DataFrame:
+    """doc_id, source and size in words of rows (doc_id, text, source), and ``more``.
+
+    Null and empty texts have no words.
+    """
+    return docs.select(F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), n_words(docs["text"]).alias("size"), *more)
+
+
+def rate(sizes: DataFrame, labels: DataFrame, good: float = 2.0, poor: float = 0.5) -> DataFrame:
+    """Adds ``quality``: ``good`` or ``poor`` where (doc_id, quality) is labelled 1 or 0, else 1.
+
+    A document with several labels has its best one.
+    """
+    best = cut(labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_doc")).agg(F.max("quality").alias("_label")))
+    joined = sizes.join(small_side(best), F.col("doc_id") == F.col("_doc"), "left")
+    return joined.withColumn("quality", F.when(F.col("_label") == 1, good).when(F.col("_label") == 0, poor).otherwise(1.0)).drop("_doc", "_label")
+
+
+def plan_mix(rated: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_epochs: int = MOST_EPOCHS, seed: str = SEED) -> DataFrame:
     """Per source: source_size, target, epochs, and the largest key of the last, partial epoch.
 
-    ``docs`` has doc_id, text and source; ``quality`` is a positive column of it.  Sizes
-    are words; a null or empty text has none and is never taken.  A null source is a source.
+    ``rated`` has doc_id, source, size and a positive quality.  Documents without words are
+    never taken.  A null source is a source.
     """
-    key = exponential_key(F.col("doc_id"), F.lit(1.0) if quality is None else quality, seed)
-    sized = cut(docs.select("doc_id", "source", n_words().alias("size"), key.alias("key")))
-    targets = cut(source_targets(cut(sized.groupBy("source").agg(F.sum("size").alias("source_size"))), weights, most_epochs))
+    source_id = F.xxhash64("source", F.col("source").isNull()).alias("_id")
+    drawn = cut(rated.select("doc_id", "source", "size", exponential_key(F.col("doc_id"), F.col("quality"), seed).alias("key")))
+    targets = source_targets(cut(drawn.groupBy("source").agg(F.sum("size").alias("source_size"))), weights, most_epochs)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
-    planned = cut(targets.withColumn("epochs", epochs).withColumn("_left", F.col("target") - F.col("epochs") * F.col("source_size")).withColumn("_id", F.xxhash64("source", F.col("source").isNull())))
-    sizes = sized.where("size > 0").withColumn("_id", F.xxhash64("source", F.col("source").isNull())).select("_id", "key", "doc_id", "size")
+    planned = cut(targets.select("source", "source_size", "target", epochs.alias("epochs"), source_id))
     order = ["key", "doc_id", "size"]
-    summed = running_total(slice_by_order(sizes, ["_id"], order), ["_id"], order, F.col("size"), "_upto")
-    left = planned.select(F.col("_id"), "_left")
+    summed = running_total(slice_by_order(drawn.where("size > 0").select(source_id, *order), ["_id"], order), ["_id"], order, F.col("size"), "_upto")
+    left = planned.select("_id", (F.col("target") - F.col("epochs") * F.col("source_size")).alias("_left"))
+    # the budget ends inside a document: that one is taken if more than half of it fits
     fits = summed.join(small_side(left), "_id").where(F.col("_upto") - F.col("size") / 2 <= F.col("_left"))
     cuts = fits.groupBy("_id").agg(F.max("key").alias("cut_key"))
-    return cut(planned.join(cuts, "_id", "left").select("source", "source_size", "target", "epochs", "cut_key"))
+    return cut(planned.join(cuts, "_id", "left").drop("_id"))
 
 
-def copies(docs: DataFrame, plan: DataFrame, quality: Column | None = None, seed: str = SEED) -> DataFrame:
-    """``docs`` with ``mix``: source_size, target, size and copies (times the mix takes the row)."""
-    key = exponential_key(docs["doc_id"], F.lit(1.0) if quality is None else quality, seed)
-    marked = docs.select(F.struct("*").alias("_row"), F.struct(F.col("source").alias("source"), n_words(docs["text"]).alias("size"), key.alias("key")).alias("_own"))
-    side = plan.select(F.struct("*").alias("_plan"))
-    joined = marked.join(small_side(side, plan.count()), F.col("_own.source").eqNullSafe(F.col("_plan.source")), "left")
-    chosen = F.coalesce(F.col("_own.key") <= F.col("_plan.cut_key"), F.lit(False)).cast("int")
-    n = F.when(F.col("_own.size") > 0, F.col("_plan.epochs") + chosen).otherwise(0)
-    return joined.select("_row", F.struct(F.col("_plan.source_size").alias("source_size"), F.col("_plan.target").alias("target"), F.col("_own.size").alias("size"), n.alias("copies")).alias("mix"))
+def take(rated: DataFrame, plan: DataFrame, seed: str = SEED) -> DataFrame:
+    """Adds source_size, target and ``copies``, the times the mix takes a row, to ``rated``."""
+    side = plan.withColumnRenamed("source", "_source")
+    joined = rated.join(small_side(side), F.col("source").eqNullSafe(F.col("_source")), "left")
+    chosen = F.coalesce(exponential_key(F.col("doc_id"), F.col("quality"), seed) <= F.col("cut_key"), F.lit(False)).cast("int")
+    return joined.withColumn("copies", F.when(F.col("size") > 0, F.col("epochs") + chosen).otherwise(0)).drop("_source", "epochs", "cut_key")
 
 
-def label_quality(docs: DataFrame, labels: DataFrame, good: float = 2.0, poor: float = 0.5) -> DataFrame:
-    """``docs`` rows as ``_row`` beside ``_quality``: ``good`` or ``poor`` where labelled, else 1.
-
-    A document with several labels has its best one.
-    """
-    best = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_labelled")).agg(F.max("quality").alias("_label"))
-    joined = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_doc")).join(best, F.col("_doc") == F.col("_labelled"), "left")
-    return joined.select("_row", F.when(F.col("_label") == 1, good).when(F.col("_label") == 0, poor).otherwise(1.0).alias("_quality"))
+def mix(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` with every row as often as the mix takes it."""
+    rated = rate(sized(docs, F.struct(*[docs[c] for c in docs.columns]).alias("_row")), labels)
+    taken = take(rated, plan_mix(rated))
+    return taken.where("copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")

@@ -60,6 +60,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(29))
 
 
+def _fold(start: int, values: list[int]) -> int:
+    """An ordered hash of a few 64-bit values."""
+    for v in values:
+        start = (start * 0x9E3779B97F4A7C15 + v) & 0xFFFFFFFFFFFFFFFF
+        start ^= start >> 32
+    return start
+
+
 def shingles(words: list[str]) -> np.ndarray:
     """Hashes of the five-word shingles in order; a shorter text is one shingle."""
     h = np.fromiter(map(_HASHES.__getitem__, words), U, len(words))
@@ -93,10 +101,7 @@ def sketch(words: list[str], rules: SketchRules) -> list[int]:
     for j, key in enumerate(keys):
         hashed = _mix(grams * key + U(j))
         picked = np.sort(np.argpartition(hashed, m - 1)[:m]) if len(grams) > m else np.arange(len(grams))
-        value = U(j + 1)
-        for g in grams[picked]:
-            value = _mix(np.asarray([value * U(0x9E3779B97F4A7C15) + g], U))[0]
-        out[j] = value
+        out[j] = _fold(j + 1, grams[picked].tolist())
     return out.view(np.int64).tolist()
 
 
@@ -214,9 +219,9 @@ def verify(pairs: DataFrame, texts: DataFrame, rules: SketchRules) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, rules: SketchRules = SketchRules()) -> DataFrame:
-    """doc_id, fp, class_id, n_links and node of each row of (doc_id, text).
+    """doc_id, fp, class_id, n_links and keep of each row of (doc_id, text).
 
-    ``class_id`` is the lowest id of the class, null if none of its rows has one.  ``n_links`` counts the
+    ``class_id`` is the lowest id of the class, null if none of its rows has one; ``keep`` marks its row.  ``n_links`` counts the
     verified links of the row's text to other texts.  Equal word sequences are one text
     without a link; texts without words are equal.  Null texts are empty.
     """
@@ -254,5 +259,20 @@ def near_duplicates(docs: DataFrame, rules: SketchRules = SketchRules()) -> Data
     components = connected_components(links, "a", "b")
     degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     marked = rows.select("doc_id", "fp", "node").join(components, "node", "left").join(degree, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    lowest = marked.groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    return marked.join(lowest, "component").select("doc_id", "fp", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "node")
+    lowest = marked.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("keeper"))
+    kept = F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("fp") == F.col("keeper.fp"))
+    return marked.join(lowest, "component").select("doc_id", "fp", F.col("keeper.doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), kept.alias("keep"))
+
+
+def without_near_duplicates(docs: DataFrame, rules: SketchRules = SketchRules()) -> DataFrame:
+    """``docs`` with one document of each class: the one with the lowest id.
+
+    Of rows that repeat it one stays.
+    """
+    found = near_duplicates(docs, rules).groupBy("doc_id", "fp").agg(F.max("keep").alias("keep"), F.count(F.lit(1)).alias("n"))
+    odd = cut(found.where(~F.col("keep") | (F.col("n") > 1)).select(F.col("doc_id").alias("_doc"), F.col("fp").alias("_fp"), "keep"))
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), fingerprint(docs["text"]).alias("_own"))
+    test = F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_fp"))
+    single = rows.join(small_side(odd), test, "left_anti").select("_row")
+    repeated = rows.join(small_side(odd.where("keep")), test, "left_semi").dropDuplicates(["_id", "_own"]).select("_row")
+    return single.unionByName(repeated).select("_row.*")

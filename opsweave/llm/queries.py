@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from opsweave.llm import chat, decontaminate, disclosure, licences, line_quality, mixing, order_minhash, secrets, token_counts, token_files
-from opsweave.llm.common import shared_folder, table
+from opsweave.llm.common import cut, shared_folder, table
 from opsweave.session import prepare
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -76,11 +76,9 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op9_weighted_mix")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
-    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
-    rated = mixing.label_quality(docs, labels).select("_row.*", "_quality").select("doc_id", "text", "source", F.col("_quality").alias("quality"))
-    mixed = mixing.copies(rated, mixing.plan_mix(rated, F.col("quality")), F.col("quality"))
-    mix = F.col("mix")
-    return mixed.select(F.col("_row.doc_id").alias("doc_id"), mix["size"].alias("size"), mix["source_size"].alias("source_size"), mix["target"].alias("target"), (mix["size"] * mix["copies"]).cast("long").alias("taken"))
+    rated = cut(mixing.rate(mixing.sized(table(spark, folder, "documents")), table(spark, folder, "labels")))
+    taken = mixing.take(rated, mixing.plan_mix(rated))
+    return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
 CONTEXT_TOKENS = 4096
