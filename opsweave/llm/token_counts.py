@@ -13,14 +13,17 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 BLANK = "▁"
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
+LONG_WORD = 64
+CHUNK_CHARS = 4_000_000
 CACHE_PAIRS = 2_000_000
 _TABLES: dict[int, PrefixTable] = {}
 
@@ -46,7 +49,9 @@ class PrefixTable:
         self.longest = max(map(len, self.rank))
         self.pairs: dict[tuple[str, str], bool] = {}
         self.words: dict[str, bytes] = {}
-        self.split = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
+        # line ends that no piece holds stand alone too
+        lone = "".join(c for c in "\n\t\r" if not any(c in p for p in self.rank))
+        self.split = re.compile(f"{BLANK}+[^{BLANK}{lone}]*|[^{BLANK}{lone}]+" + f"|[{lone}]" * bool(lone))
 
     def merge(self, text: str) -> list[str]:
         """The coding of a short string by its definition: best merge first, leftmost on ties."""
@@ -70,48 +75,61 @@ class PrefixTable:
             known = self.pairs[left, right] = self.merge(left + right) == ([left, right] if left else [right])
         return known
 
-    def word(self, word: str) -> bytes:
-        """Counts after each character of a word, as 32-bit integers."""
-        rank, pairs, longest = self.rank, self.pairs, self.longest
-        last, count = [""], [0]
-        for i in range(1, len(word) + 1):
-            for j in range(max(0, i - longest), i):
-                t = word[j:i]
-                if t in rank:
-                    left = last[j]
-                    known = pairs.get((left, t))
-                    if known or known is None and self.follows(left, t):
-                        last.append(t)
-                        count.append(count[j] + 1)
-                        break
-            else:  # a character without a piece: one token for each of its bytes
-                last.append(word[i - 1])
-                count.append(count[i - 1] + len(word[i - 1].encode("utf-8", "surrogatepass")))
-        return np.asarray(count[1:], "<i4").tobytes()
-
-    def prefix(self, text: str) -> np.ndarray:
-        """Token counts of all prefixes of a text, the empty one first."""
-        if not text:
-            return np.zeros(1, "<i4")
+    def learn(self, words: list[str]) -> None:
+        """Adds the counts after each character of new words.
+
+        In sorted order a word begins as the one before it did, so only the recurrence's
+        steps behind the common beginning are taken.
+        """
+        rank, pairs, longest, cache = self.rank, self.pairs, self.longest, self.words
+        last, count, before = [""], [0], ""
+        for word in sorted(words):
+            same, most = 0, min(len(before), len(word))
+            while same < most and before[same] == word[same]:
+                same += 1
+            del last[same + 1 :], count[same + 1 :]
+            before = word
+            for i in range(same + 1, len(word) + 1):
+                for j in range(max(0, i - longest), i):
+                    t = word[j:i]
+                    if t in rank:
+                        left = last[j]
+                        known = pairs.get((left, t))
+                        if known or known is None and self.follows(left, t):
+                            last.append(t)
+                            count.append(count[j] + 1)
+                            break
+                else:  # a character without a piece: one token for each of its bytes
+                    last.append(word[i - 1])
+                    count.append(count[i - 1] + len(word[i - 1].encode("utf-8", "surrogatepass")))
+            cache[word] = array("i", count[1:]).tobytes()
+
+    def prefixes(self, texts: list[str]) -> list[np.ndarray]:
+        """Token counts of all prefixes of each text, the empty one first."""
         cache = self.words
         if len(cache) > CACHE_WORDS:
             cache.clear()
-        parts = self.split.findall(BLANK + text.replace(" ", BLANK))
-        tables = []
+        parts = [self.split.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
+        self.learn({w for p in parts for w in p if w not in cache})
+        out = []
         for part in parts:
-            table = cache.get(part)
-            if table is None:
-                table = self.word(part)
-                if len(part) <= 64:
-                    cache[part] = table
-            tables.append(table)
-        counts = np.frombuffer(b"".join(tables), "<i4")
-        lengths = np.fromiter(map(len, tables), "i8", len(tables)) // 4
-        totals = counts[np.cumsum(lengths) - 1]
-        before = np.cumsum(totals) - totals
-        counts = counts + np.repeat(before, lengths).astype("<i4")
-        counts[0] = 0  # the blank in front belongs to no prefix
-        return counts
+            if not part:
+                out.append(np.zeros(1, "<i4"))
+                continue
+            tables = [cache[w] for w in part]
+            counts = np.frombuffer(b"".join(tables), "<i4")
+            ends = np.cumsum(np.fromiter(map(len, part), "i8", len(part)))
+            totals = counts[ends - 1]
+            before = np.cumsum(totals) - totals
+            counts = counts + np.repeat(before, np.diff(ends, prepend=0)).astype("<i4")
+            counts[0] = 0  # the blank in front belongs to no prefix
+            out.append(counts)
+        for word in [w for w in self.words if len(w) > LONG_WORD] if any(len(w) > LONG_WORD for p in parts for w in p) else ():
+            del cache[word]
+        return out
+
+    def prefix(self, text: str) -> np.ndarray:
+        return self.prefixes([text])[0]
 
     @classmethod
     def of(cls, model: bytes) -> PrefixTable:
@@ -131,25 +149,31 @@ def prefix_token_counts(docs: DataFrame, model: str) -> DataFrame:
     with open(model, "rb") as f:
         shipped = docs.sparkSession.sparkContext.broadcast(f.read())
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("counts", pa.list_(pa.int32()))])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = PrefixTable.of(shipped.value)
-        for pdf in batches:
-            rows, size = [], 0
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
             start = 0
-            texts = pdf["text"].tolist()
-            for i, text in enumerate(texts):
-                rows.append(table.prefix(text))
-                size += len(text)
-                if size > 4_000_000 or i == len(texts) - 1:
-                    yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[start : i + 1].array, "n_bytes": pdf["n_bytes"].iloc[start : i + 1].array, "counts": rows})
-                    rows, size, start = [], 0, i + 1
+            while start < len(texts):
+                stop, size = start, 0
+                while stop < len(texts) and size < CHUNK_CHARS:
+                    size += len(texts[stop])
+                    stop += 1
+                rows = table.prefixes(texts[start:stop])
+                offsets = np.concatenate([np.zeros(1, "i4"), np.cumsum([len(r) for r in rows], dtype="i4")])
+                counts = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows)))
+                ids, sizes = (batch.column(c).slice(start, stop - start) for c in ("doc_id", "n_bytes"))
+                yield pa.RecordBatch.from_arrays([ids, sizes, counts], schema=schema)
+                start = stop
 
     source = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce("text", F.lit("")).alias("text"),
         F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"),
     )
-    return source.mapInPandas(count, "doc_id long, n_bytes long, counts array<int>")
+    return source.mapInArrow(count, "doc_id long, n_bytes long, counts array<int>")
 
 
 def n_tokens(counts: Column | str = "counts") -> Column:
