@@ -6,12 +6,13 @@ share it only if they share those shingles in that order.  Texts with a sketch i
 candidates.  A candidate pair is verified by aligning its words within a band; the
 similarity is the share of shingles that lie inside aligned runs, of the longer text's.
 
-Equal texts are one node.  In a bucket of more than ``small`` texts, all are compared with the
-first one only.  Distances are a metric, so those to the first text tell which others can
-still be similar: texts that met it are compared further only with texts that it did not meet
-and to which the difference in distance allows it.  What did not meet it goes on to the next round with
-a new first text.  No pair above the threshold that shares a bucket is lost, and a
-group of n copies costs n pairs.
+Equal texts are one node.  In a bucket of up to ``small`` texts all pairs are compared.  In a
+larger one all are compared with one of them, picked by hash, so a group of n copies costs
+n pairs a bucket.  What that leaves open is settled exactly: texts of large buckets that are in
+different components so far are compared if they can be similar at all.  Two texts with
+the threshold's share of shingles in common have one in common among the rarest
+n - threshold * n + 1 of each, so these are joined.  A passage on thousands of pages is
+not among its pages' rarest shingles, and brings no pairs.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from opsweave.llm.common import SPACE, cut, fingerprint, small_side
 from opsweave.llm.line_quality import words_of
@@ -38,7 +39,7 @@ class SketchRules:
     sketches: int = 24
     picks: int = 3
     similarity: float = 0.8
-    small: int = 8
+    small: int = 16
     seed: int = 20_240_601
 
 
@@ -198,6 +199,22 @@ def text_nodes(docs: DataFrame, rules: SketchRules) -> DataFrame:
     return source.mapInArrow(digest, "doc_id long, fp long, node binary, n_words int, sketch array<long>")
 
 
+def rarest_shingles(texts: DataFrame, rules: SketchRules) -> DataFrame:
+    """(gram, node) for the rarest labelled shingles of each text, as many as the threshold allows to differ, and one."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, text in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist()):
+                grams = labelled(shingles(words_of(text))).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([node] * len(grams), pa.binary()), pa.array(grams), pa.array(np.full(len(grams), len(grams)))], names=["node", "gram", "n"])
+
+    grams = cut(texts.mapInArrow(spread, "node binary, gram long, n long"))
+    often = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("often", "gram"))
+    first = grams.join(often, "gram").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * rules.similarity - 1e-9) + 1)
+    return first.where("often > 1").select("gram", "node", "n")
+
+
 def verify(pairs: DataFrame, texts: DataFrame, rules: SketchRules) -> DataFrame:
     """Adds ``similar`` to the pairs (a, b) of nodes; ``texts`` has node and text once each."""
 
@@ -229,34 +246,36 @@ def near_duplicates(docs: DataFrame, rules: SketchRules = SketchRules()) -> Data
     owners = rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "sketch")).alias("own"))
     nodes = cut(owners.select("node", F.col("own.doc_id").alias("doc_id"), F.col("own.fp").alias("fp"), F.col("own.sketch").alias("sketch")))
     entries = nodes.select(F.posexplode("sketch").alias("no", "value"), "node").select(F.xxhash64("no", "value").alias("bucket"), "node")
-    counts = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).where("n > 1")
-    active = cut(entries.join(counts, "bucket"))
+    # the picked text of a bucket differs from bucket to bucket, also where groups are the same
+    pick = F.min_by("node", F.xxhash64("bucket", "node"))
+    counts = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), pick.alias("first")).where("n > 1")
+    buckets = cut(entries.join(counts, "bucket"))
+    met = cut(buckets.groupBy("node").agg(F.max(F.col("n") > rules.small).alias("large")))
 
-    wanted = active.select("node").distinct().join(nodes, "node").select("node", F.col("doc_id").alias("_doc"), F.col("fp").alias("_fp"))
-    wanted = cut(wanted)
+    wanted = cut(met.join(nodes, "node").select("node", F.col("doc_id").alias("_doc"), F.col("fp").alias("_fp")))
     source = docs.select("doc_id", fingerprint().alias("fp"), F.coalesce("text", F.lit("")).alias("text"))
     texts = cut(source.join(small_side(wanted), source["doc_id"].eqNullSafe(F.col("_doc")) & (source["fp"] == F.col("_fp"))).select("node", "text").dropDuplicates(["node"]))
 
-    checked: DataFrame | None = None
-    while True:
-        small = active.where(F.col("n") <= rules.small).select("bucket", "node")
-        one, two = small.withColumnRenamed("node", "a"), small.withColumnRenamed("node", "b")
-        pairs = one.join(two, "bucket").where("a < b").select("a", "b")
-        large = active.where(F.col("n") > rules.small)
-        pairs = pairs.unionByName(large.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))).distinct()
-        if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        scored = cut(verify(pairs, texts, rules))
-        checked = scored if checked is None else cut(checked.unionByName(scored))
-        met = checked.where(F.col("similar") >= rules.similarity).select(F.col("a").alias("first"), F.col("b").alias("node"), F.lit(True).alias("met"))
-        left = large.where("node <> first").join(met, ["first", "node"], "left").where("met IS NULL").select("bucket", "node")
-        again = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).where("n > 1")
-        active = cut(left.join(again, "bucket"))
-        if active.isEmpty():
-            break
-
-    links = cut(checked.where(F.col("similar") >= rules.similarity).select("a", "b"))
+    small = buckets.where(F.col("n") <= rules.small).select("bucket", "node")
+    one, two = small.withColumnRenamed("node", "a"), small.withColumnRenamed("node", "b")
+    pairs = one.join(two, "bucket").where("a < b").select("a", "b")
+    large = buckets.where(F.col("n") > rules.small).where("node <> first")
+    pairs = cut(pairs.unionByName(large.select(F.least("first", "node").alias("a"), F.greatest("first", "node").alias("b"))).distinct())
+    links = cut(verify(pairs, texts, rules).where(F.col("similar") >= rules.similarity).select("a", "b"))
     components = connected_components(links, "a", "b")
+
+    open_texts = texts.join(met.where("large"), "node", "left_semi")
+    rare = rarest_shingles(open_texts, rules).join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rare = cut(rare)
+    several = rare.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("gram")
+    across = rare.join(several, "gram", "left_semi")
+    one = across.select("gram", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("component").alias("a_in"))
+    two = across.select("gram", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("component").alias("b_in"))
+    near = F.least("a_n", "b_n") >= rules.similarity * F.greatest("a_n", "b_n") - 1e-9
+    more = cut(one.join(two, "gram").where((F.col("a") < F.col("b")) & (F.col("a_in") != F.col("b_in")) & near).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"))
+    if not more.isEmpty():
+        links = cut(links.unionByName(verify(more, texts, rules).where(F.col("similar") >= rules.similarity).select("a", "b")))
+        components = connected_components(links, "a", "b")
     degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     marked = rows.select("doc_id", "fp", "node").join(components, "node", "left").join(degree, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = marked.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("keeper"))
