@@ -131,15 +131,22 @@ def with_contexts(found: DataFrame, rules: DisclosureRules) -> DataFrame:
 def revealing_terms(docs: DataFrame, contexts: DataFrame, rules: DisclosureRules) -> DataFrame:
     """(entity, term, ratio) of the pairs whose PMI is at least ``generalise_at`` of the entity's IC."""
     pairs = contexts.select("fp", F.explode("around").alias("a")).select("fp", F.col("a.entity").alias("entity"), F.col("a.term").alias("term")).distinct()
-    supported = cut(pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= rules.support))
-    terms = cut(supported.select("term").distinct())
     n_e = contexts.select("fp", F.explode("entities").alias("entity")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+    total = float(docs.select(fingerprint().alias("fp")).distinct().count())
+
+    def ratio(n_term: str) -> Column:
+        information = F.log2(F.lit(total) / F.col("n_e"))
+        pmi = F.log2(F.lit(total) * F.col("n_et") / (F.col("n_e") * F.col(n_term)))
+        return F.when(information > 0, pmi / information).otherwise(0.0)
+
+    # a term is in at least as many texts as it is near entities: who fails with that fails
+    near = pairs.select("fp", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
+    supported = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= rules.support)
+    open_pairs = cut(supported.join(n_e, "entity").join(near, "term").where(ratio("n_near") >= rules.generalise_at))
+    terms = cut(open_pairs.select("term").distinct())
     words = docs.select(fingerprint().alias("fp"), F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+"))).alias("term"))
     n_t = words.join(small_side(terms), "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    total = docs.select(fingerprint().alias("fp")).distinct().count()
-    information = F.log2(F.lit(float(total)) / F.col("n_e"))
-    pmi = F.log2(F.lit(float(total)) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
-    scored = supported.join(n_e, "entity").join(n_t, "term").withColumn("ratio", F.when(information > 0, pmi / information).otherwise(0.0))
+    scored = open_pairs.join(n_t, "term").withColumn("ratio", ratio("n_t"))
     return cut(scored.where(F.col("ratio") >= rules.generalise_at).select("entity", "term", "ratio"))
 
 
