@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from opsweave.functions.numeric import CALIBRATED_BANDS, clamp, severity_from_score
+from opsweave.functions.numeric import CALIBRATED_BANDS, clamp, is_finite, severity_from_score
 from opsweave.functions.skew import lookup_join, slice_by_order
 from opsweave.session import materialise
 
@@ -181,17 +181,20 @@ def calibrate(scores: DataFrame, reference: DataFrame, cfg: CalibrationConfig, c
     """Adds status, calibrated_score, severity and sample_count to every score row.
 
     ``scores`` has source_signal_id, model_name, model_version and score.  Statuses in
-    order: invalid_input (no id), unsupported_model, missing_calibration, invalid_input
-    (the id is part of the reference), success.
+    order: invalid_input (no id, or a score that is not a number in [0, 1]), unsupported_model,
+    missing_calibration, invalid_input (the id is part of the reference), success.
+    Rows without an id do not take part in the join with the reference.
     """
     keys = list(MODEL_KEYS)
     fit = fit_calibration(reference, cfg, cutoff, strict)
     small = fit.select(*keys, "sample_count", "low", "high", "is_degenerate", F.lit(True).alias("_fitted"))
-    leaked = reference.select(*keys, F.col("sample_id").alias("source_signal_id")).distinct().withColumn("_leak", F.lit(True))
+    leaked = reference.where(F.col("sample_id").isNotNull()).select(*keys, F.col("sample_id").alias("source_signal_id")).distinct().withColumn("_leak", F.lit(True))
     known = lookup_join(scores, materialise(small), keys, ["source_signal_id"], "left")
-    checked = known.join(leaked, [*keys, "source_signal_id"], "left")
+    nameless = known.where(F.col("source_signal_id").isNull()).withColumn("_leak", F.lit(None).cast("boolean"))
+    checked = known.where(F.col("source_signal_id").isNotNull()).join(leaked, [*keys, "source_signal_id"], "left").unionByName(nameless)
+    usable = F.coalesce(is_finite(F.col("score")) & F.col("score").between(0.0, 1.0), F.lit(False))
     status = (
-        F.when(F.col("source_signal_id").isNull(), "invalid_input")
+        F.when(F.col("source_signal_id").isNull() | ~usable, "invalid_input")
         .when(~_supported(cfg), "unsupported_model")
         .when(F.col("_fitted").isNull(), "missing_calibration")
         .when(F.col("_leak"), "invalid_input")

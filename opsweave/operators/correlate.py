@@ -39,8 +39,8 @@ class CorrelationConfig:
         weights = (self.temporal, self.service, self.topology, self.symptom, self.context)
         if any(not 0.0 <= w <= 1.0 for w in weights) or abs(math.fsum(weights) - 1.0) > SLACK:
             raise ValueError("weights must be in [0, 1] and sum to 1")
-        if not 0.0 <= self.threshold <= 1.0 or not 0 <= self.hop_limit <= graph.MAX_HOPS:
-            raise ValueError("threshold must be in [0, 1] and hop_limit in 0..32")
+        if not 0.0 <= self.threshold <= 1.0 or self.hop_limit < 0:
+            raise ValueError("threshold must be in [0, 1] and hop_limit at least 0")
         if not 1 <= self.window_seconds <= 86400 or self.max_group_size < 1:
             raise ValueError("window_seconds must be in 1..86400 and max_group_size positive")
         if self.late not in ("accept", "reject", "delay") or self.duplicate not in ("ignore", "reject"):
@@ -81,8 +81,9 @@ def candidate_pairs(signals: DataFrame, window_seconds: int, match: Sequence[str
 
     Columns left_id < right_id with the two rows as structs ``l`` and ``r``.  Time is cut
     into buckets of one window; a signal meets its own and the next bucket, each pair once
-    (the earlier signal leads).  Dense blocks of more than ``block_rows`` signals are laid
-    out on a grid of sub-blocks, so a task compares at most block_rows * block_rows rows.
+    (the earlier signal leads).  A block's leading rows come from its own bucket and the one
+    before; blocks of more than ``block_rows`` of them are laid out on a grid of
+    sub-blocks, so a task compares about block_rows * block_rows rows at most.
     Adding run-context columns to ``match`` narrows the blocks when only groupable pairs
     are needed.
     """
@@ -92,8 +93,10 @@ def candidate_pairs(signals: DataFrame, window_seconds: int, match: Sequence[str
     base = signals.select(*keys, "signal_id", F.unix_micros("event_time").alias("_us"), row.alias("_row")).withColumn(
         "_bucket", F.expr(f"_us div {width}L")
     )
+    leading = base.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_own"))
+    both = leading.select(*keys, F.explode(F.array(F.col("_bucket"), F.col("_bucket") + 1)).alias("_bucket"), "_own")
     sizes = materialise(
-        base.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block_rows)
+        both.groupBy(*keys, "_bucket").agg(F.sum("_own").alias("_n")).where(F.col("_n") > block_rows)
         .select(*keys, "_bucket", F.ceil(F.col("_n") / F.lit(block_rows)).cast("int").alias("_cells"))
     )
     left = base.withColumn("_meet", F.explode(F.array(F.col("_bucket"), F.col("_bucket") + 1)))
@@ -235,9 +238,9 @@ def score_pairs(pairs: DataFrame, resolution: DataFrame, relations: DataFrame, c
 def dispositions(signals: DataFrame, watermark, cfg: CorrelationConfig) -> DataFrame:
     """One row per signal: duplicate_count, late, disposition, included, conflict.
 
-    Late means event_time < watermark - allowed lateness.  A duplicate under the reject
+    Late means event_time < watermark - allowed lateness.  An id with more than one
+    fingerprint is a conflict: none of its rows may be used.  A duplicate under the reject
     policy drops all its copies; otherwise lateness decides (reject and delay exclude).
-    Rows are told apart by semantic_fingerprint.
     """
     rows = signals.groupBy("signal_id").agg(
         F.count(F.lit(1)).alias("duplicate_count"),
@@ -253,6 +256,7 @@ def dispositions(signals: DataFrame, watermark, cfg: CorrelationConfig) -> DataF
     disposition = F.when(F.col("late"), F.lit(dropped)).otherwise(kept) if dropped else kept
     if cfg.duplicate == "reject":
         disposition = F.when(dup, "duplicate_rejected").otherwise(disposition)
+    disposition = F.when(F.col("conflict"), "conflict").otherwise(disposition)
     return (
         rows.withColumn("late", late)
         .withColumn("disposition", disposition)

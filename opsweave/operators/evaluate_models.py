@@ -78,7 +78,7 @@ def evaluate(calibration_obs: DataFrame, evaluation_obs: DataFrame, truth: DataF
     unit = E.joined(*keys, "window_index", sep=":")
     outcomes = labelled.withColumn("status", status).withColumn(
         "calibrated_score", F.when(F.col("status") == "success", F.col("calibrated_score"))
-    )
+    ).withColumn("severity", F.when(F.col("status") == "success", F.col("severity")))
     outcomes = E.decide(outcomes, cfg.threshold).select(
         unit.alias("unit_id"), F.col("window_index").alias("unit_index"), F.col(cfg.scenario_key).cast("string").alias("scenario_id"),
         F.col(cfg.run_key).cast("string").alias("run_id"), "model_name", "model_version", F.col("observation_timestamp").alias("event_time"),

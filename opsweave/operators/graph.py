@@ -7,6 +7,7 @@ is materialised, so the plan never grows with depth.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -14,12 +15,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from opsweave.session import materialise
 
 DIRECTIONS = ("downstream", "upstream", "both")
-MAX_HOPS = 32
 
 
-def _check(hops: int, direction: str) -> None:
-    if isinstance(hops, bool) or not 0 <= hops <= MAX_HOPS:
-        raise ValueError(f"hops must be between 0 and {MAX_HOPS}")
+def _check(hops: int | None, direction: str) -> None:
+    if hops is not None and (isinstance(hops, bool) or hops < 0):
+        raise ValueError("hops must be None or at least 0")
     if direction not in DIRECTIONS:
         raise ValueError(f"direction must be one of {DIRECTIONS}")
 
@@ -86,9 +86,11 @@ def neighbours(edges: DataFrame, direction: str) -> DataFrame:
     return best.select("node", "neighbour", F.col("_best.dep").alias("dep"))
 
 
-def _walk(edges: DataFrame, roots: DataFrame, hops: int, direction: str, with_path: bool) -> DataFrame:
+def _walk(edges: DataFrame, roots: DataFrame, hops: int | None, direction: str, with_path: bool) -> DataFrame:
     """Breadth-first levels from every root: (root, node, depth[, path]).
 
+    Without ``hops`` the walk ends when a level finds no new node.  Every few levels
+    what was seen is materialised anew, so a long chain does not grow the plan.
     Of the shortest paths to a node the lexicographically smallest is kept; that is the
     first discoverer when every level is expanded in path order.
     """
@@ -99,7 +101,7 @@ def _walk(edges: DataFrame, roots: DataFrame, hops: int, direction: str, with_pa
         roots.select("root").distinct().select("root", F.col("root").alias("node"), F.lit(0).alias("depth"), *path)
     )
     seen = level
-    for depth in range(1, hops + 1):
+    for depth in itertools.count(1) if hops is None else range(1, hops + 1):
         found = level.join(step, "node").select(
             "root", F.col("neighbour").alias("node"),
             *([F.concat("path", F.array("neighbour")).alias("path")] if with_path else []),
@@ -113,16 +115,18 @@ def _walk(edges: DataFrame, roots: DataFrame, hops: int, direction: str, with_pa
         if level.isEmpty():
             break
         seen = seen.unionByName(level)
+        if depth % 16 == 0:
+            seen = materialise(seen)
     return seen
 
 
-def neighborhood(edges: DataFrame, roots: DataFrame, hops: int, direction: str = "downstream") -> DataFrame:
+def neighborhood(edges: DataFrame, roots: DataFrame, hops: int | None, direction: str = "downstream") -> DataFrame:
     """Nodes within ``hops`` of each root with depth and breadth-first tree path."""
     return _walk(edges, roots, hops, direction, with_path=True)
 
 
-def distances(edges: DataFrame, hops: int = MAX_HOPS, direction: str = "downstream", sources: DataFrame | None = None) -> DataFrame:
-    """(source, target, hops) of every pair within reach; computed once per snapshot.
+def distances(edges: DataFrame, hops: int | None = None, direction: str = "downstream", sources: DataFrame | None = None) -> DataFrame:
+    """(source, target, hops) of every pair within ``hops``, or of every connected pair.
 
     A shortest walk is simple, so this equals the minimum over all simple paths.
     ``sources`` (column root) limits the start nodes.
@@ -140,10 +144,10 @@ def induced_edges(edges: DataFrame, reached: DataFrame) -> DataFrame:
     return first.join(ends.withColumnRenamed("node", "down"), ["root", "down"], "left_semi").select("root", "up", "down", "dep")
 
 
-def truncation(edges: DataFrame, reached: DataFrame, hops: int, direction: str) -> DataFrame:
-    """(root, truncated): does an unvisited neighbour lie just beyond ``hops``; never at the hop maximum."""
+def truncation(edges: DataFrame, reached: DataFrame, hops: int | None, direction: str) -> DataFrame:
+    """(root, truncated): does an unvisited neighbour lie just beyond ``hops``; never without a bound."""
     roots = reached.select("root").distinct()
-    if hops >= MAX_HOPS:
+    if hops is None:
         return roots.withColumn("truncated", F.lit(False))
     rim = reached.where(F.col("depth") == hops).select("root", "node")
     beyond = rim.join(neighbours(edges, direction).select("node", "neighbour").distinct(), "node").select(
@@ -163,6 +167,8 @@ def find_paths(edges: DataFrame, pairs: DataFrame, hops: int, direction: str = "
     target than the hops left.
     """
     _check(hops, direction)
+    if hops is None:
+        raise ValueError("paths need a bound on their hops")
     wanted = pairs.select("source", "target").distinct()
     zero = wanted.where("source = target").select(
         "source", "target", F.lit(0).alias("hop_count"), F.array("source").alias("path"), F.array().cast("array<string>").alias("deps")
@@ -223,7 +229,7 @@ def group_diameter(members: DataFrame, undirected: DataFrame) -> DataFrame:
     )
 
 
-def blast_radius(edges: DataFrame, primaries: DataFrame, hops: int, direction: str = "downstream") -> tuple[DataFrame, DataFrame]:
+def blast_radius(edges: DataFrame, primaries: DataFrame, hops: int | None, direction: str = "downstream") -> tuple[DataFrame, DataFrame]:
     """(affected, summary) for each primary service (column root).
 
     ``affected`` has a row per service reached, the primary included, with its depth and

@@ -307,31 +307,53 @@ def publish_summary(events: DataFrame) -> DataFrame:
     )
 
 
-def extract_metrics(events: DataFrame) -> DataFrame:
-    """Metric samples of the envelopes: metric, value, labels, timestamp_ms and ``metric_error``.
+def _payload_field(name: str, kind: str) -> Column:
+    return F.try_variant_get(F.col("event.payload"), f"$.{name}", kind)
 
-    metric_name must be a non-blank text; value a finite number or boolean (1.0 / 0.0);
-    texts are refused.  Labels are the fixed identity labels plus status_code and
-    outcome when present; trace and request ids never become labels.
-    """
-    p = F.col("event.payload")
 
-    def get(name: str, kind: str) -> Column:
-        return F.try_variant_get(p, f"$.{name}", kind)
+def metric_reading() -> tuple[Column, Column]:
+    """(value, error) of a metric envelope's payload; the error is null for a usable sample."""
 
     def kind_of(name: str) -> Column:
-        return F.schema_of_variant(F.try_variant_get(p, f"$.{name}", "variant"))
+        return F.schema_of_variant(_payload_field(name, "variant"))
 
-    name_ok = (kind_of("metric_name") == "STRING") & (F.trim(get("metric_name", "string")) != "")
+    name_ok = (kind_of("metric_name") == "STRING") & (F.trim(_payload_field("metric_name", "string")) != "")
     value_kind = kind_of("value")
-    number = F.when(value_kind == "BOOLEAN", get("value", "boolean").cast("double")).when(
-        value_kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), get("value", "double")
+    number = F.when(value_kind == "BOOLEAN", _payload_field("value", "boolean").cast("double")).when(
+        value_kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), _payload_field("value", "double")
     )
     error = (
         F.when(~F.coalesce(name_ok, F.lit(False)), "metric_name must be a non-empty string")
         .when(value_kind.isNull() | number.isNull(), "value must be a number or boolean")
         .when(~is_finite(number), "value must be finite")
     )
+    return number, error
+
+
+def refuse_unstored(validated: DataFrame, handled: Sequence[str] | None = None) -> DataFrame:
+    """Sets the persistence stage on valid records that no store takes.
+
+    These are metric events without a usable sample, and, with ``handled`` (the types that a
+    handler takes), events that are neither metric, log, system nor handled.
+    """
+    kind = F.col("event.event_type")
+    unstored = F.when(kind == "metric", metric_reading()[1])
+    if handled is not None:
+        unstored = unstored.when(~kind.isin("log", "system", *handled), F.concat(F.lit("no store takes event type "), kind))
+    refused = F.struct(F.lit("persistence").alias("stage"), F.lit("PersistenceRejected").alias("type"), unstored.alias("message"))
+    error = F.when(F.col("error").isNotNull(), F.col("error")).when(unstored.isNotNull(), refused)
+    return validated.withColumn("error", error)
+
+
+def extract_metrics(events: DataFrame) -> DataFrame:
+    """Metric samples of the envelopes: metric, value, labels, timestamp_ms and ``metric_error``.
+
+    metric_name must be a non-blank text; value a finite number or boolean (1.0 / 0.0);
+    texts are refused.  Labels are the fixed identity labels plus status_code and
+    outcome when present; trace and request ids never become labels.
+    """
+    get = _payload_field
+    number, error = metric_reading()
     labels = F.map_filter(
         F.create_map(
             F.lit("__name__"), get("metric_name", "string"),

@@ -97,10 +97,10 @@ def range_query(samples: DataFrame, metric: str, start, end, step_seconds: float
     return points.select(*series, F.timestamp_micros(F.col("_t0") + F.col("_g") * step).alias("timestamp"), "value", F.timestamp_micros("_t").alias("sample_time"))
 
 
-def evidence_query(evidence: DataFrame, limit: int = 100, start=None, end=None, marker: str | None = None, **terms) -> DataFrame:
-    """Evidence matching all terms in the closed time range, earliest ``limit`` by (event_time, event_id)."""
-    if not 1 <= limit <= 1000:
-        raise ValueError("limit must be between 1 and 1000")
+def evidence_query(evidence: DataFrame, limit: int | None = None, start=None, end=None, marker: str | None = None, **terms) -> DataFrame:
+    """Evidence matching all terms in the closed time range, by (event_time, event_id): all, or the earliest ``limit``."""
+    if limit is not None and limit < 1:
+        raise ValueError("limit must be positive")
     unknown = set(terms) - {"run_id", "seed", "service", "event_type", "severity", "trace_id", "event_id"}
     if unknown:
         raise ValueError(f"unknown terms {sorted(unknown)}")
@@ -119,4 +119,5 @@ def evidence_query(evidence: DataFrame, limit: int = 100, start=None, end=None,
         rows = rows.where(F.col("event_time") >= F.lit(start).cast("timestamp"))
     if end is not None:
         rows = rows.where(F.col("event_time") <= F.lit(end).cast("timestamp"))
-    return rows.orderBy("event_time", "event_id").limit(limit)
+    ordered = rows.orderBy("event_time", "event_id")
+    return ordered if limit is None else ordered.limit(limit)

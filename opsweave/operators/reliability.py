@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from opsweave.operators.quantiles import HOT_ROWS, exact_quantiles
 
-SAMPLE_WINDOW = 1000
-
 
 def percentile_or_zero(values: Column, percent: float) -> Column:
     """Linear percentile 0-100; 0.0 for no values."""
@@ -27,12 +25,12 @@ def consumer_lag(ends: DataFrame, committed: DataFrame, keys: Sequence[str] = ("
     return joined.select(*keys, F.greatest(F.lit(0), F.col("end_offset") - F.coalesce("committed_offset", F.lit(0))).cast("bigint").alias("lag"))
 
 
-def pipeline_summary(operations: DataFrame, elapsed_seconds: Column | float, sample_window: int = SAMPLE_WINDOW) -> DataFrame:
+def pipeline_summary(operations: DataFrame, elapsed_seconds: Column | float, sample_window: int | None = None) -> DataFrame:
     """One row of counters and latencies.
 
     ``operations``: kind (publish, persist, quarantine, failure), seq (order), latency_ms,
-    retries, e2e_ms.  A quarantine also counts as failed.  Percentiles use the newest
-    ``sample_window`` latencies of each sort; that many rows per sort leave each task.
+    retries, e2e_ms.  A quarantine also counts as failed.  Percentiles are over all
+    latencies, ranked in slices; with ``sample_window``, over that many newest of each sort.
     """
     retries = F.when((F.col("kind") == "persist") & (F.col("retries") > 0), F.col("retries"))
     counts = operations.agg(
@@ -51,11 +49,13 @@ def pipeline_summary(operations: DataFrame, elapsed_seconds: Column | float, sam
         lambda s: s.isNotNull() & (s["ms"] >= 0),
     )
     long = operations.select("seq", F.explode(sorts).alias("s")).select("seq", "s.sort", "s.ms")
-    newest = Window.partitionBy("sort").orderBy(F.col("seq").desc())
-    recent = long.withColumn("_rn", F.row_number().over(newest)).where(F.col("_rn") <= sample_window)
-    marks = recent.agg(*[
-        F.round(percentile_or_zero(F.when(F.col("sort") == s, F.col("ms")), p), 3).alias(f"{s}_latency_p{p}_ms")
-        for s in ("publish", "persistence", "e2e") for p in (50, 99)
+    if sample_window is not None:
+        newest = Window.partitionBy("sort").orderBy(F.col("seq").desc())
+        long = long.withColumn("_rn", F.row_number().over(newest)).where(F.col("_rn") <= sample_window)
+    ranked = exact_quantiles(long, ["sort"], "ms", [0.5, 0.99], "q")
+    marks = ranked.agg(*[
+        F.round(F.coalesce(F.max(F.when(F.col("sort") == s, F.col("q")[i])), F.lit(0.0)), 3).alias(f"{s}_latency_p{p}_ms")
+        for s in ("publish", "persistence", "e2e") for i, p in enumerate((50, 99))
     ])
     span = F.greatest(F.lit(0.001), elapsed_seconds if isinstance(elapsed_seconds, Column) else F.lit(float(elapsed_seconds)))
     throughput = F.round((F.col("persisted_count") + F.col("quarantined_count")) / span, 2)

@@ -102,6 +102,21 @@ def calibrate_inline(spark, folder):
     return _out(_calibrated(spark, folder))
 
 
+@query(
+    "C2_unusable_scores",
+    """SELECT event_id AS source_signal_id, CASE WHEN event_id % 5 < 4 THEN 'invalid_input' WHEN event_time <= TIMESTAMP '2024-01-16 00:00:00' THEN 'invalid_input' ELSE 'success' END AS status,
+  event_id % 5 = 4 AND event_time > TIMESTAMP '2024-01-16 00:00:00' AS has_score FROM telemetry""",
+    ("telemetry",),
+)
+def unusable_scores(spark, folder):
+    """Null, NaN and out-of-range scores, against one reference for all."""
+    scored = _scored(spark, folder).withColumn("model_name", F.lit("one")).withColumn("model_version", F.lit("1"))
+    case = F.col("source_signal_id") % 5
+    broken = F.when(case == 1, F.lit(float("nan"))).when(case == 2, F.lit(5.0)).when(case == 3, F.lit(-0.1)).when(case == 4, F.col("score"))
+    out = C.calibrate(scored.withColumn("score", broken), _reference(scored), ANY_MODEL, CUTOFF, strict=False)
+    return out.select("source_signal_id", "status", (F.col("calibrated_score").isNotNull() & F.col("severity").isNotNull()).alias("has_score"))
+
+
 @query("C2_calibrate_sliced", _OUT, ("telemetry",))
 def calibrate_sliced(spark, folder):
     return _out(_calibrated(spark, folder, C.CalibrationConfig(supported_models=None, max_inline_scores=0)))

@@ -177,6 +177,21 @@ _register_disposition("K12_dispositions_delay", "delay", "ignore")
 _register_disposition("K12_dispositions_reject", "reject", "reject")
 
 
+@query(
+    "K12_dispositions_conflict",
+    """SELECT signal_id, CASE WHEN severity = 'critical' THEN 2 ELSE 1 END + CASE WHEN service = 'click' THEN 1 ELSE 0 END AS duplicate_count,
+  CASE WHEN service = 'click' THEN 'conflict' WHEN severity = 'critical' THEN 'duplicate_ignored' ELSE 'grouped' END AS disposition,
+  service <> 'click' AS included, service = 'click' AS conflict FROM signals""",
+    ("signals",),
+)
+def conflicting_ids(spark, folder):
+    sig = signals_with_prints(spark, folder)
+    changed = sig.where("service = 'click'").withColumn("semantic_fingerprint", F.lit("other"))
+    received = sig.unionByName(sig.where("severity = 'critical'")).unionByName(changed)
+    out = K.dispositions(received, "2024-01-01 00:00:00", K.CorrelationConfig(late="accept", duplicate="ignore"))
+    return out.select("signal_id", "duplicate_count", "disposition", "included", "conflict")
+
+
 @query(
     "K13_validate_evidence",
     f"""WITH RECURSIVE {scored_sql()},

@@ -9,6 +9,8 @@ from opsweave.operators import evaluation as E, features as W
 from opsweave.plans.features import H, windows_sql
 from opsweave.plans.inputs import load
 from opsweave.plans.registry import query, round6
+from opsweave.session import shared_folder
+from opsweave.sources.stores import artifact_manifest, write_evaluation
 
 MODELS = ("a", "b")
 
@@ -378,3 +380,32 @@ def evaluate_models(spark, folder):
         "model_name", "total_units", "tp", "fp", "tn", "fn", "success_units", "insufficient_units", "failure_units", "precision", "recall", "f1",
         "false_positive_rate", "detected_scenarios",
     )
+
+
+def _written(spark, folder):
+    outcomes = _outcomes(spark, folder)
+    scenarios = E.by_scenario(outcomes)
+    path = shared_folder(spark, "evaluation")
+    write_evaluation(outcomes, scenarios, E.by_model(scenarios).join(E.latency_summary(scenarios), "model_name"), path)
+    return path
+
+
+@query(
+    "S17_written_outcomes",
+    f"WITH {OUTCOMES} SELECT scenario_id, model_name, unit_index, predicted AS predicted_positive FROM d",
+    ("labelled",),
+)
+def written_outcomes(spark, folder):
+    back = spark.read.schema("scenario_id string, model_name string, unit_index long, predicted_positive boolean").json(f"{_written(spark, folder)}/outcomes")
+    return back.select("scenario_id", "model_name", "unit_index", "predicted_positive")
+
+
+@query(
+    "S18_manifest_counts",
+    f"""WITH {OUTCOMES} SELECT 'application/x-ndjson' AS media_type, count(*) AS records FROM d
+UNION ALL SELECT 'text/csv', count(DISTINCT model_name) + count(DISTINCT (scenario_id, model_name)) FROM d""",
+    ("labelled",),
+)
+def manifest_counts(spark, folder):
+    entries = artifact_manifest(spark, _written(spark, folder)).where("record_count IS NOT NULL")
+    return entries.groupBy("media_type").agg(F.sum("record_count").cast("long").alias("records"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from opsweave.operators import graph as G
 from opsweave.plans.inputs import load
@@ -146,6 +146,38 @@ def simple_paths(spark, folder):
     return G.find_paths(edges, pairs, 2).select("source", "target", "hop_count", F.concat_ws(">", "path").alias("path"))
 
 
+# The two-month periods of all orders, each followed by the next one: a chain of some 40.
+CHAIN = """periods AS (SELECT DISTINCT (year(o_orderdate) * 12 + month(o_orderdate) - 1) // 2 AS p FROM orders),
+chain AS (SELECT row_number() OVER (ORDER BY p) AS i FROM periods)"""
+
+
+def _chain(spark, folder):
+    period = F.floor((F.year("o_orderdate") * 12 + F.month("o_orderdate") - 1) / 2)
+    ranked = load(spark, folder, "orders").select(period.alias("p")).distinct().withColumn("i", F.row_number().over(Window.orderBy("p")))
+    linked = ranked.withColumn("last", F.max("i").over(Window.orderBy("p").rowsBetween(0, Window.unboundedFollowing)))
+    name = lambda i: F.concat(F.lit("p"), i.cast("string"))
+    return linked.where("i < last").select(name(F.col("i")).alias("up"), name(F.col("i") + 1).alias("down"), F.lit("sync").alias("dep"))
+
+
+def _first(spark, folder):
+    return _chain(spark, folder).where("up = 'p1'").select(F.col("up").alias("root"))
+
+
+@query("G8_long_chain", f"""WITH {CHAIN} SELECT 'p1' AS source, 'p' || i AS target, CAST(i - 1 AS INTEGER) AS hops FROM chain""")
+def long_chain(spark, folder):
+    return G.distances(_chain(spark, folder), sources=_first(spark, folder))
+
+
+@query(
+    "G6_truncated_long_chain",
+    f"""WITH {CHAIN} SELECT h AS hops, 'p1' AS root, h < (SELECT max(i) - 1 FROM chain) AS truncated FROM (VALUES (32), (36), (60)) t(h)""",
+)
+def truncated_long_chain(spark, folder):
+    edges, root = _chain(spark, folder), _first(spark, folder)
+    out = [G.truncation(edges, G.neighborhood(edges, root, h), h, "downstream").select(F.lit(h).alias("hops"), "root", "truncated") for h in (32, 36, 60)]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 @query(
     "G8_hop_distances",
     """WITH RECURSIVE walk(source, node, depth) AS (

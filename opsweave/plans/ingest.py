@@ -8,8 +8,9 @@ from opsweave.functions.text import sanitise_message, secret_in_json, measured_k
 from opsweave.operators import ingest as S, query as Q, reliability as R
 from opsweave.plans.inputs import load
 from opsweave.plans.registry import query, round6
-from opsweave.sources.quarantine import replay
-from opsweave.sources.stores import newest_per_document
+from opsweave.session import shared_folder
+from opsweave.sources.quarantine import read_quarantine, replay, write_quarantine
+from opsweave.sources.stores import newest_per_document, upsert_evidence
 
 # Kafka-shaped records of the whole event table.  The position in a cycle of 40 decides
 # which rule, if any, a record breaks; the check SQL states the expected outcome.
@@ -125,6 +126,19 @@ def split(spark, folder):
     )
 
 
+@query(
+    "S4_all_stages",
+    f"""WITH {RAW} SELECT event_id AS offset, coalesce(stage, 'persistence') AS failure_stage,
+  CASE WHEN stage IS NULL THEN CASE m WHEN 17 THEN 'value must be a number or boolean' ELSE 'metric_name must be a non-empty string' END END AS persistence_message
+FROM x WHERE stage IS NOT NULL OR (kind = 'metric' AND m IN (17, 20))""",
+    ("telemetry",),
+)
+def all_stages(spark, folder):
+    refused = S.quarantined(S.refuse_unstored(S.validate(raw_records(spark, folder))))
+    message = F.when(F.col("failure_stage") == "persistence", F.col("failure_message_sanitized"))
+    return refused.select("offset", "failure_stage", message.alias("persistence_message"))
+
+
 @query("S4_accepted_records", f"WITH {RAW} SELECT {EID} AS event_id, {RUN} AS run_id, epoch_us(event_time) AS event_us, kind FROM good", ("telemetry",))
 def accepted(spark, folder):
     return good(spark, folder).select(
@@ -233,6 +247,34 @@ def last_write(spark, folder):
     return newest_per_document(both).select("document_id", "kept")
 
 
+@query(
+    "S12_upsert_across_dates",
+    f"""WITH {RAW}, {EVIDENCE} SELECT document_id, kind = 'log' AS moved, epoch_us(event_time) + CASE WHEN kind = 'log' THEN 259200000000 ELSE 0 END AS us FROM ev""",
+    ("telemetry",),
+)
+def upsert_across_dates(spark, folder):
+    """Documents written twice, the second time three days later: only the later row is kept."""
+    docs = S.build_evidence(good(spark, folder), F.lit("2024-02-01 00:00:00").cast("timestamp")).withColumn("moved", F.lit(False))
+    later = docs.where("event_type = 'log'").withColumns({
+        "event_time": F.expr("event_time + INTERVAL 3 DAYS"), "ingested_at": F.expr("ingested_at + INTERVAL 1 HOUR"), "moved": F.lit(True),
+    })
+    path = shared_folder(spark, "evidence")
+    upsert_evidence(docs, path)
+    upsert_evidence(later, path)
+    return spark.read.parquet(path).select("document_id", "moved", F.unix_micros("event_time").alias("us"))
+
+
+@query(
+    "S5_quarantine_round_trip",
+    f"""WITH {RAW} SELECT event_id AS offset, stage AS failure_stage, CASE WHEN m = 4 THEN 4 WHEN m IN (5, 15) THEN 6 ELSE 5 END AS headers FROM x WHERE stage IS NOT NULL""",
+    ("telemetry",),
+)
+def quarantine_round_trip(spark, folder):
+    path = shared_folder(spark, "quarantine")
+    write_quarantine(bad(spark, folder), path)
+    return read_quarantine(spark, path).select("offset", "failure_stage", F.size("headers").alias("headers"))
+
+
 def _signal_rows(spark, folder):
     sig = load(spark, folder, "signals")
     return sig.select(
@@ -338,12 +380,12 @@ def range_query(spark, folder):
 @query(
     "Q4_evidence_query",
     f"""WITH {RAW}, {EVIDENCE} SELECT document_id, epoch_us(event_time) AS us, severity FROM ev
-WHERE kind = 'system' AND severity = 'info' AND service = 'click' AND event_time >= TIMESTAMP '2024-01-03 00:00:00' ORDER BY event_time, eid LIMIT 50""",
+WHERE kind = 'system' AND severity = 'info' AND service = 'click' AND event_time >= TIMESTAMP '2024-01-03 00:00:00'""",
     ("telemetry",),
 )
 def evidence_query(spark, folder):
     docs = S.build_evidence(good(spark, folder))
-    out = Q.evidence_query(docs, 50, start="2024-01-03 00:00:00", marker="click", event_type="system", severity="info")
+    out = Q.evidence_query(docs, start="2024-01-03 00:00:00", marker="click", event_type="system", severity="info")
     return out.select("document_id", F.unix_micros("event_time").alias("us"), "severity")
 
 
@@ -367,21 +409,23 @@ def _operations(spark, folder):
 
 @query(
     "R1_pipeline_summary",
-    f"""WITH {OPS}, n AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY seq DESC) AS rn FROM op)
-SELECT count(*) FILTER (WHERE kind = 'publish') AS published_count, count(*) FILTER (WHERE kind = 'persist') AS persisted_count,
+    f"""WITH {OPS} SELECT count(*) FILTER (WHERE kind = 'publish') AS published_count, count(*) FILTER (WHERE kind = 'persist') AS persisted_count,
   count(*) FILTER (WHERE kind = 'quarantine') AS quarantined_count, count(*) FILTER (WHERE kind IN ('quarantine', 'failure')) AS failed_count,
   CAST(sum(retries) FILTER (WHERE kind = 'persist' AND retries > 0) AS BIGINT) AS retry_count,
   round(count(*) FILTER (WHERE kind IN ('persist', 'quarantine')) / 1000.0, 2) AS throughput_per_second,
-  round(quantile_cont(latency_ms, 0.5) FILTER (WHERE kind = 'publish' AND rn <= 1000), 3) AS publish_p50,
-  round(quantile_cont(latency_ms, 0.5) FILTER (WHERE kind = 'persist' AND rn <= 1000), 3) AS persistence_p50,
-  round(quantile_cont(e2e_ms, 0.5) FILTER (WHERE kind = 'persist' AND rn <= 1000), 3) AS e2e_p50 FROM n""",
+  round(quantile_cont(latency_ms, 0.5) FILTER (WHERE kind = 'publish'), 3) AS publish_p50,
+  round(quantile_cont(latency_ms, 0.5) FILTER (WHERE kind = 'persist'), 3) AS persistence_p50,
+  round(quantile_cont(e2e_ms, 0.5) FILTER (WHERE kind = 'persist'), 3) AS e2e_p50,
+  round(quantile_cont(latency_ms, 0.99) FILTER (WHERE kind = 'publish'), 3) AS publish_p99,
+  round(quantile_cont(latency_ms, 0.99) FILTER (WHERE kind = 'persist'), 3) AS persistence_p99,
+  round(quantile_cont(e2e_ms, 0.99) FILTER (WHERE kind = 'persist'), 3) AS e2e_p99 FROM op""",
     ("telemetry",),
 )
 def pipeline_summary(spark, folder):
     out = R.pipeline_summary(_operations(spark, folder), 1000.0)
     return out.select(
         "published_count", "persisted_count", "quarantined_count", "failed_count", "retry_count", "throughput_per_second",
-        *[F.col(f"{s}_latency_p50_ms").alias(f"{s}_p50") for s in ("publish", "persistence", "e2e")],
+        *[F.col(f"{s}_latency_p{p}_ms").alias(f"{s}_p{p}") for p in (50, 99) for s in ("publish", "persistence", "e2e")],
     )
 
 

@@ -30,7 +30,7 @@ SELECT lpad(CAST(event_id AS VARCHAR(12)), 12, '0') AS signal_id, event_time, te
   CASE WHEN value >= 300 THEN CAST(1 AS DOUBLE) ELSE value / CAST(300 AS DOUBLE) END AS anomaly_score,
   run_id, concat('scenario-', CAST(seed % 3 AS VARCHAR(4))) AS scenario_id, '1.0.0' AS scenario_version,
   seed, concat('seed-', CAST(seed AS VARCHAR(4))) AS reproducibility_key
-FROM telemetry WHERE value > 120""",
+FROM telemetry""",
     "service_edges": """
 SELECT 'view' AS up, 'click' AS down, 'sync' AS dep
 UNION ALL SELECT 'click', 'signup', 'sync' UNION ALL SELECT 'click', 'purchase', 'async'

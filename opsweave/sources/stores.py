@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import StructType
 
-from opsweave.session import materialise
+from opsweave.session import materialise, shuffle_partitions
 
 MODEL_CSV = {
     "model_name": "model_name", "model_version": "model_version", "total_units": "total_units", "true_positives": "tp", "false_positives": "fp",
@@ -21,12 +25,13 @@ SCENARIO_CSV = {
 RATIOS = ("precision", "recall", "f1", "false_positive_rate")
 
 
-def write_topic_files(records: DataFrame, path: str) -> None:
-    """Records per topic; rows of one key stay in one file and in order of arrival.
+def write_topic_files(records: DataFrame, path: str, order: Sequence[str]) -> None:
+    """Records per topic; rows of one key stay in one file, sorted by ``order`` (offset or event time).
 
     The Kafka form of the same frame is ``records.write.format("kafka")``.
     """
-    records.repartition("topic", "key").write.mode("append").partitionBy("topic").parquet(path)
+    keyed = records.repartition(shuffle_partitions(records.sparkSession), "topic", "key").sortWithinPartitions("topic", "key", *order)
+    keyed.write.mode("append").partitionBy("topic").parquet(path)
 
 
 def write_metric_samples(samples: DataFrame, path: str, mode: str = "append") -> None:
@@ -44,29 +49,35 @@ def newest_per_document(documents: DataFrame) -> DataFrame:
     return documents.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
-def upsert_evidence(batch: DataFrame, path: str) -> None:
+def upsert_evidence(batch: DataFrame, path: str, buckets: int = 64) -> None:
     """Write documents by id, last write wins; repeating a batch changes nothing.
 
-    Only the dates in the batch are rewritten.  VARIANT payloads are kept as JSON text.
+    The store is partitioned by a hash of the id, so a document stays in its bucket when its
+    time changes.  ``buckets`` must stay the same for a store.  Only the batch's buckets are read
+    and rewritten; each is replaced as a whole, not all at once, so a reader during a write may see
+    buckets of either state.  VARIANT payloads are kept as JSON text.
     """
     spark = batch.sparkSession
     shaped = batch.withColumn("payload", F.to_json("payload")) if dict(batch.dtypes).get("payload") == "variant" else batch
-    fresh = materialise(shaped.withColumn("date", F.to_date("event_time")))
-    if fresh.isEmpty():
+    fresh = materialise(shaped.withColumn("bucket", F.pmod(F.xxhash64("document_id"), F.lit(buckets)).cast("int")))
+    touched = [r[0] for r in fresh.select("bucket").distinct().collect()]  # at most ``buckets``
+    if not touched:
         return
-    merged = fresh
-    if _exists(spark, path):
-        stored = spark.read.schema(fresh.schema).parquet(path)
-        merged = fresh.unionByName(stored.join(F.broadcast(fresh.select("date").distinct()), "date", "left_semi"))
+    stored = stored_buckets(spark, path, fresh.schema, touched)
+    merged = fresh if stored is None else fresh.unionByName(stored)
     # The stored rows are read before their partitions are replaced.
     result = materialise(newest_per_document(merged))
-    result.hint("rebalance", "date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
+    result.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+def stored_buckets(spark: SparkSession, path: str, schema: StructType, buckets: Sequence[int]) -> DataFrame | None:
+    """Stored documents of some buckets; the others' files are not read.  None before the first write."""
+    try:
+        return spark.read.schema(schema).parquet(path).where(F.col("bucket").isin(list(buckets)))
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def _csv(df: DataFrame, columns: dict[str, str]) -> DataFrame:

@@ -8,19 +8,23 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from opsweave.operators.ingest import TOPICS, accepted, build_evidence, extract_metrics, quarantined, validate
-from opsweave.sources.quarantine import write_quarantine
+from opsweave.operators.ingest import TOPICS, accepted, build_evidence, extract_metrics, quarantined, refuse_unstored, validate
 from opsweave.sources.stores import upsert_evidence, write_metric_samples
 
 
 @dataclass(frozen=True)
 class Sinks:
-    """Where a batch goes; ``handler`` gets the accepted envelopes as a last step."""
+    """Where a batch goes; ``handler`` gets the accepted envelopes as a last step.
+
+    ``handled`` names the event types beyond metric, log and system that the handler stores;
+    all others are quarantined at the persistence stage.
+    """
 
     metrics: str | None = None
     evidence: str | None = None
     quarantine: str | None = None
     handler: Callable[[DataFrame, int], None] | None = None
+    handled: tuple[str, ...] = ()
 
 
 def start_ingest(
@@ -39,7 +43,7 @@ def start_ingest(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        checked = validate(batch, topics, allowed).persist()
+        checked = refuse_unstored(validate(batch, topics, allowed), sinks.handled).persist()
         try:
             good = accepted(checked)
             if sinks.metrics:
@@ -64,4 +68,4 @@ def metric_samples(spark, path: str) -> DataFrame:
     return spark.read.option("basePath", path).parquet(f"{path}/batch=*").drop("batch")
 
 
-__all__ = ["Sinks", "start_ingest", "metric_samples", "write_quarantine"]
+__all__ = ["Sinks", "start_ingest", "metric_samples"]

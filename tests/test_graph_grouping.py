@@ -84,7 +84,7 @@ def test_parallel_edge_types_are_separate_paths(spark):
 
 def test_truncation_and_hop_bounds(spark):
     df = edges_df(spark, DIAMOND)
-    for hops, cut in ((1, True), (3, False), (32, False)):
+    for hops, cut in ((1, True), (3, False), (32, False), (None, False)):
         reached = G.neighborhood(df, roots(spark, "gw"), hops)
         assert G.truncation(df, reached, hops, "downstream").first().truncated is cut
     with pytest.raises(ValueError):

@@ -100,6 +100,12 @@ def test_evidence_upsert_is_idempotent(spark, raw, tmp_path):
     out = spark.read.parquet(path)
     assert out.count() == docs.count() == out.select("document_id").distinct().count()
     assert out.where("event_type = 'log' and severity <> 'changed'").count() == 0
+    moved = docs.withColumn("event_time", F.expr("event_time + INTERVAL 9 DAYS")).withColumn("ingested_at", F.timestamp_seconds(F.lit(30)))
+    stores.upsert_evidence(moved, path)
+    assert spark.read.parquet(path).count() == docs.count()
+    one = stores.stored_buckets(spark, path, spark.read.parquet(path).schema, [3])
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
 
 
 def test_result_files_and_manifest(spark, tmp_path):
@@ -122,8 +128,12 @@ def test_result_files_and_manifest(spark, tmp_path):
 
 def test_topic_files_keep_keys_together(spark, raw, tmp_path):
     records = S.publish(S.split_quarantine(spark.read.parquet(raw))[0])
-    stores.write_topic_files(records, str(tmp_path / "topics"))
+    id_of = F.get_json_object(F.col("value").cast("string"), "$.event_time")
+    stores.write_topic_files(records.withColumn("at", id_of), str(tmp_path / "topics"), ["at"])
     back = spark.read.parquet(str(tmp_path / "topics"))
+    for file in {r[0] for r in back.select(F.input_file_name()).distinct().collect()}:
+        rows = [(r.key, r["at"]) for r in spark.read.parquet(file).coalesce(1).collect()]
+        assert rows == sorted(rows)
     assert back.count() == records.count()
     spread = back.select("topic", "key", F.input_file_name().alias("f")).groupBy("topic", "key").agg(F.countDistinct("f").alias("files"))
     assert spread.agg(F.max("files")).first()[0] == 1
@@ -139,10 +149,13 @@ def test_ingest_stream_equals_batch(spark, raw, tmp_path):
     good, bad = S.split_quarantine(source)
     samples = S.extract_metrics(good.where("event.event_type = 'metric'")).where("metric_error IS NULL")
     ids = lambda df, c: sorted(r[0] for r in df.select(c).collect())
-    assert len(seen) > 1 and sum(n for _, n in seen) == good.count()
+    assert len(seen) > 1 and sum(n for _, n in seen) == samples.count() + S.build_evidence(good).count()
     assert ids(SI.metric_samples(spark, str(tmp_path / "m")), "event_id") == ids(samples, "event_id")
     assert ids(spark.read.parquet(str(tmp_path / "e")), "document_id") == ids(S.build_evidence(good), "document_id")
-    assert ids(spark.read.schema(QF.SCHEMA).json(str(tmp_path / "q" / "*")), "quarantine_id") == ids(bad, "quarantine_id")
+    refused = S.quarantined(S.refuse_unstored(S.validate(source), ()))
+    assert ids(spark.read.schema(QF.SCHEMA).json(str(tmp_path / "q" / "*")), "quarantine_id") == ids(refused, "quarantine_id")
+    # every record is in exactly one store
+    assert source.count() == samples.count() + S.build_evidence(good).count() + refused.count() and refused.count() > bad.count()
 
 
 def _stream(spark, df, path, files=3):
