@@ -87,8 +87,17 @@ def test_truncation_and_hop_bounds(spark):
     for hops, cut in ((1, True), (3, False), (32, False), (None, False)):
         reached = G.neighborhood(df, roots(spark, "gw"), hops)
         assert G.truncation(df, reached, hops, "downstream").first().truncated is cut
+    assert G.neighborhood(df, roots(spark, "gw"), 33).count() == G.neighborhood(df, roots(spark, "gw"), None).count()
     with pytest.raises(ValueError):
-        G.neighborhood(df, roots(spark, "gw"), 33)
+        G.neighborhood(df, roots(spark, "gw"), -1)
+
+
+def test_long_chain_is_walked_to_its_end(spark):
+    df = edges_df(spark, [(f"n{i}", f"n{i + 1}") for i in range(40)])
+    reached = G.neighborhood(df, roots(spark, "n0"), None)
+    assert reached.count() == 41 and not G.truncation(df, reached, None, "downstream").first().truncated
+    short = G.neighborhood(df, roots(spark, "n0"), 34)
+    assert short.count() == 35 and G.truncation(df, short, 34, "downstream").first().truncated
 
 
 def test_fingerprint_ignores_row_order(spark):
