@@ -13,7 +13,9 @@ TIMELINE_NAMESPACE = uuid.uuid5(uuid.NAMESPACE_DNS, "opsweave.timeline-event")
 HANDOFF_NAMESPACE = uuid.uuid5(uuid.NAMESPACE_DNS, "opsweave.handoff")
 SIGNAL_NAMESPACE = uuid.uuid5(uuid.NAMESPACE_DNS, "opsweave.signal")
 
-UUID_PATTERN = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
+# Hyphenated, also in braces or as a URN, or 32 digits alone.
+_HYPHENATED = "[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
+UUID_PATTERN = f"^(?:{_HYPHENATED}|\\{{{_HYPHENATED}\\}}|urn:uuid:{_HYPHENATED}|[0-9a-fA-F]{{32}})$"
 
 
 def uuid5(namespace: uuid.UUID, name: Column) -> Column:
@@ -56,3 +58,9 @@ def iso_utc(ts: Column) -> Column:
     whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
     frac = F.when(F.pmod(micros, F.lit(1_000_000)) == 0, F.lit("")).otherwise(F.date_format(ts, ".SSSSSS"))
     return F.concat(whole, frac, F.lit("+00:00"))
+
+
+def canonical_uuid(c: Column) -> Column:
+    """A text that ``is_uuid`` accepts in lower case with hyphens."""
+    digits = F.regexp_replace(F.regexp_replace(F.lower(c), "^urn:uuid:", ""), "[^0-9a-f]", "")
+    return F.regexp_replace(digits, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")

@@ -1,7 +1,8 @@
 """Isolation forest as a Spark job: bounded samples, trees per task, scores per slice.
 
-Nothing here holds more than a sample pool (trees * sample size rows per model), one
-model, or one slice of the scored rows.
+Every tree samples all rows: a row is drawn for a tree by a hash, with a chance that
+follows from the number of rows, so some one and a half times the sample leaves the tasks.
+Nothing here holds more than one tree's sample, one model, or one slice of the scored rows.
 """
 
 from __future__ import annotations
@@ -11,9 +12,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-SAMPLE_SIZE = 256
+from opsweave.functions.skew import lookup_join
+from opsweave.session import materialise
+
+MAX_SAMPLES = 256
 TREE_BATCHES = 8
 TREE_SCHEMA = "tree int, sample int, feature array<int>, threshold array<double>, left array<int>, right array<int>, size array<int>"
 
@@ -26,19 +30,24 @@ def _path_correction(n: np.ndarray | float) -> np.ndarray:
     return np.where(n <= 1, 0.0, np.where(n == 2, 1.0, value))
 
 
-def sample_pool(train: DataFrame, keys: Sequence[str], row_id: str, trees: int, seed: int) -> DataFrame:
-    """Rows for each tree: (keys, tree, vector), at most SAMPLE_SIZE rows per tree.
+def tree_samples(train: DataFrame, keys: Sequence[str], row_id: str, trees: int, seed: int, max_samples: int = MAX_SAMPLES) -> DataFrame:
+    """Rows for each tree: (keys, tree, vector), ``max_samples`` rows per tree, or all there are.
 
-    Rows are ranked by a seeded hash of their id.  The ``trees * SAMPLE_SIZE`` lowest
-    of a model form its pool (a top-k per key, cut before the shuffle).  Every tree
-    then ranks the pool by its own hash and takes the first SAMPLE_SIZE.
+    A tree takes the rows with the lowest hashes of (id, seed, tree).  Rows above a bound
+    that leaves half as many again are dropped before the shuffle; that fewer than
+    ``max_samples`` remain is next to impossible, and makes the tree's sample smaller.
     """
+    sizes = materialise(train.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
     ident = F.col(row_id).cast("string")
-    w = Window.partitionBy(*keys).orderBy(F.xxhash64(ident, F.lit(seed)), ident)
-    pool = train.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= trees * SAMPLE_SIZE)
-    spread = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    w2 = Window.partitionBy(*keys, "tree").orderBy(F.xxhash64(ident, F.lit(seed), F.col("tree")), ident)
-    return spread.withColumn("_rn", F.row_number().over(w2)).where(F.col("_rn") <= SAMPLE_SIZE).select(*keys, "tree", "vector")
+    known = lookup_join(train.select(*keys, ident.alias("_id"), "vector"), sizes, keys, ["_id"])
+    bound = F.lit(max_samples + 8.0 * math.sqrt(max_samples)) / F.col("_n")
+
+    def drawn(tree: Column) -> Column:
+        return F.pmod(F.xxhash64(F.col("_id"), F.lit(seed), tree), F.lit(1 << 40)) / float(1 << 40)
+
+    spread = known.withColumn("tree", F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: drawn(t) < bound)))
+    lowest = Window.partitionBy(*keys, "tree").orderBy(drawn(F.col("tree")), "_id")
+    return spread.withColumn("_rn", F.row_number().over(lowest)).where(F.col("_rn") <= max_samples).select(*keys, "tree", "vector")
 
 
 def _grow(x: np.ndarray, rng: np.random.Generator):
@@ -64,7 +73,7 @@ def _grow(x: np.ndarray, rng: np.random.Generator):
     return feature, threshold, left, right, size
 
 
-def fit_forest(train: DataFrame, keys: Sequence[str], row_id: str, trees: int = 100, seed: int = 42) -> DataFrame:
+def fit_forest(train: DataFrame, keys: Sequence[str], row_id: str, trees: int = 100, seed: int = 42, max_samples: int = MAX_SAMPLES) -> DataFrame:
     """One row per (keys, tree) with the node arrays; needs ``vector ARRAY<DOUBLE>``."""
     keys = list(keys)
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in train.schema.fields if f.name in keys)
@@ -82,7 +91,7 @@ def fit_forest(train: DataFrame, keys: Sequence[str], row_id: str, trees: int =
         return pd.DataFrame(grown)
 
     # A task grows a few trees at once: fewer Arrow groups, still a bounded number of rows.
-    samples = sample_pool(train, keys, row_id, trees, seed).withColumn("_batch", F.col("tree") % TREE_BATCHES)
+    samples = tree_samples(train, keys, row_id, trees, seed, max_samples).withColumn("_batch", F.col("tree") % TREE_BATCHES)
     return samples.groupBy(*keys, "_batch").applyInPandas(build, schema)
 
 

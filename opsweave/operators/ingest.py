@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from opsweave.functions.identity import EVALUATION_NAMESPACE, is_uuid, joined, uuid5
+from opsweave.functions.identity import EVALUATION_NAMESPACE, canonical_uuid, is_uuid, joined, uuid5
 from opsweave.functions.numeric import SEVERITIES, is_finite
 from opsweave.functions.steps import computed_once
 from opsweave.functions.text import truncate_failure
@@ -114,9 +114,9 @@ def parse_events(raw: DataFrame, strict: bool = False) -> DataFrame:
         error = F.coalesce(error, F.when(F.size(F.array_except("_keys", known)) > 0, "unknown field"))
     event = F.struct(
         F.lit("1.0").alias("schema_version"),
-        F.coalesce(F.lower(_field("event_id")), position).alias("event_id"),
+        F.coalesce(canonical_uuid(_field("event_id")), position).alias("event_id"),
         F.coalesce(stamp, F.col("timestamp").cast("timestamp")).alias("event_time"),
-        F.lower(_field("tenant_id")).alias("tenant_id"),
+        canonical_uuid(_field("tenant_id")).alias("tenant_id"),
         _field("environment").alias("environment"),
         _field("service").alias("service"),
         _field("event_type").alias("event_type"),
@@ -182,7 +182,7 @@ def parse_context(raw: DataFrame) -> DataFrame:
     for cond, label, message in problems:
         bad = bad.when(cond, verdict(label, message))
     ctx = F.struct(
-        F.lower(text("run_id")).alias("run_id"),
+        canonical_uuid(text("run_id")).alias("run_id"),
         text("scenario_id").alias("scenario_id"),
         text("scenario_version").alias("scenario_version"),
         text("reproducibility_key").alias("reproducibility_key"),

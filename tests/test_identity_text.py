@@ -48,3 +48,12 @@ def test_config_scan(spark):
     rows = df.select("i", T.secret_in_json(F.col("d")).alias("s"), T.measured_key_in_json(F.col("d")).alias("m")).orderBy("i").collect()
     assert [r.s for r in rows] == [True, True, False, False, False, True]
     assert [r.m for r in rows] == [False, False, False, True, False, False]
+
+
+def test_uuid_forms(spark):
+    plain = "123E4567-e89b-12d3-a456-426614174000"
+    forms = [plain, "{" + plain + "}", "urn:uuid:" + plain, plain.replace("-", ""), plain[:-1], plain.replace("-", "", 1), "{" + plain, "x" + plain]
+    df = spark.createDataFrame([(f,) for f in forms], "t string")
+    rows = df.select(ID.is_uuid(F.col("t")).alias("ok"), ID.canonical_uuid(F.col("t")).alias("c")).collect()
+    assert [r.ok for r in rows] == [True] * 4 + [False] * 4
+    assert {r.c for r in rows[:4]} == {plain.lower()}
