@@ -52,8 +52,8 @@ def reference_report(reference: DataFrame, cfg: CalibrationConfig, cutoff=None)
     """One row per (model, version) with the fit and the first reason to refuse it.
 
     ``reference`` has sample_id, model_name, model_version, score, event_time and
-    partition_role.  Order of checks: supported model, enough samples, every sample of
-    role ``calibration``, no sample after the cutoff (on the cutoff is allowed).
+    partition_role.  Order of checks: supported model, enough samples, every score a number
+    in [0, 1], every sample of role ``calibration``, no sample after the cutoff (on the cutoff is allowed).
     """
     late = F.lit(False) if cutoff is None else F.col("event_time") > F.lit(cutoff).cast("timestamp")
     fit = reference.groupBy(*MODEL_KEYS).agg(
@@ -64,10 +64,12 @@ def reference_report(reference: DataFrame, cfg: CalibrationConfig, cutoff=None)
         F.max("event_time").alias("latest"),
         F.count_if(F.col("partition_role") != "calibration").alias("foreign_samples"),
         F.count_if(late).alias("late_samples"),
+        F.count_if(~F.coalesce(is_finite(F.col("score")) & F.col("score").between(0.0, 1.0), F.lit(False))).alias("unusable_samples"),
     )
     verdict = (
         F.when(~_supported(cfg), "unsupported_model")
         .when(F.col("sample_count") < cfg.min_samples, "insufficient_reference_data")
+        .when(F.col("unusable_samples") > 0, "invalid_reference_score")
         .when(F.col("foreign_samples") > 0, "leakage_partition_role")
         .when(F.col("late_samples") > 0, "leakage_after_cutoff")
         .otherwise("fitted")

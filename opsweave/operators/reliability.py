@@ -14,6 +14,13 @@ def percentile_or_zero(values: Column, percent: float) -> Column:
     return F.coalesce(F.percentile(values, percent / 100.0), F.lit(0.0))
 
 
+def percentiles_or_zero(rows: DataFrame, keys: Sequence[str], value: str, percents: Sequence[float]) -> DataFrame:
+    """``q``: linear percentiles 0-100 per key, 0.0 for a key without values; large groups are ranked in slices."""
+    ranked = exact_quantiles(rows, keys, value, [p / 100.0 for p in percents], "q")
+    none = F.array(*[F.lit(0.0)] * len(percents))
+    return rows.select(*keys).distinct().join(ranked, list(keys), "left").select(*keys, F.coalesce("q", none).alias("q"))
+
+
 def end_to_end_ms(now_ms: Column, broker_ms: Column) -> Column:
     """max(0, now - broker time); null without a broker time."""
     return F.when(broker_ms > 0, F.greatest(F.lit(0.0), (now_ms - broker_ms).cast("double")))

@@ -436,12 +436,11 @@ def pipeline_summary(spark, folder):
     ("telemetry",),
 )
 def percentiles(spark, folder):
-    ops = _operations(spark, folder)
-    v = F.when(F.col("kind") == "publish", F.col("latency_ms"))
-    return ops.groupBy("service").agg(
-        round6(R.percentile_or_zero(v, 50)).alias("p50"), round6(R.percentile_or_zero(v, 99)).alias("p99"),
-        R.percentile_or_zero(F.when(F.col("kind") == "none", F.col("latency_ms")), 50).alias("empty"),
-    )
+    shown = lambda kind: F.when(F.col("kind") == kind, F.col("latency_ms"))
+    ops = _operations(spark, folder).select("service", shown("publish").alias("published"), shown("none").alias("nothing"))
+    marks = R.percentiles_or_zero(ops, ["service"], "published", [50, 99])
+    empty = R.percentiles_or_zero(ops, ["service"], "nothing", [50]).select("service", F.col("q")[0].alias("empty"))
+    return marks.select("service", round6(F.col("q")[0]).alias("p50"), round6(F.col("q")[1]).alias("p99")).join(empty, "service")
 
 
 @query(
