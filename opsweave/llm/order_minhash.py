@@ -7,8 +7,8 @@ candidates.  A candidate pair is verified by aligning its words within a band; t
 similarity is the share of shingles that lie inside aligned runs, of the longer text's.
 
 Equal texts are one node.  In a bucket of up to ``small`` texts all pairs are compared.  In a
-larger one all are compared with one of them, picked by hash, so a group of n copies costs
-n pairs a bucket.  What that leaves open is settled exactly: texts of large buckets that are in
+larger one all are compared with one of them, the lowest, so a group of n copies costs some
+n pairs.  What that leaves open is settled exactly: texts of large buckets that are in
 different components so far are compared if they can be similar at all.  Two texts with
 the threshold's share of shingles in common have one in common among the rarest
 n - threshold * n + 1 of each, so these are joined.  A passage on thousands of pages is
@@ -17,7 +17,7 @@ not among its pages' rarest shingles, and brings no pairs.
 
 from __future__ import annotations
 
-from collections import Counter
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -61,17 +61,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(29))
 
 
-def _fold(start: int, values: list[int]) -> int:
-    """An ordered hash of a few 64-bit values."""
-    for v in values:
-        start = (start * 0x9E3779B97F4A7C15 + v) & 0xFFFFFFFFFFFFFFFF
-        start ^= start >> 32
-    return start
+def word_hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(_HASHES.__getitem__, words), U, len(words))
 
 
-def shingles(words: list[str]) -> np.ndarray:
-    """Hashes of the five-word shingles in order; a shorter text is one shingle."""
-    h = np.fromiter(map(_HASHES.__getitem__, words), U, len(words))
+def shingles(h: np.ndarray) -> np.ndarray:
+    """Hashes of the five-word shingles of hashed words, in order; a shorter text is one shingle."""
     n = max(1, len(h) - K + 1)
     out = np.zeros(n, U)
     for k in range(min(K, len(h))):
@@ -93,90 +88,136 @@ def labelled(grams: np.ndarray) -> np.ndarray:
     return np.where(nth > 0, _mix(grams + nth * U(0xD6E8FEB86659FD93)), grams)
 
 
-def sketch(words: list[str], rules: SketchRules) -> list[int]:
-    """One value per sketch: number, and ordered picks, hashed."""
-    grams = labelled(shingles(words))
-    m = min(rules.picks, len(grams))
-    keys = np.random.default_rng(rules.seed).integers(1, 1 << 63, rules.sketches, dtype=U) | U(1)
+def sketch(grams: np.ndarray, rules: SketchRules) -> list[int]:
+    """One value per sketch over labelled shingles: its number, and its picks in text order, hashed."""
+    n, m = len(grams), min(rules.picks, len(grams))
+    keys = _keys(rules.sketches, rules.seed)
     out = np.empty(rules.sketches, U)
-    for j, key in enumerate(keys):
-        hashed = _mix(grams * key + U(j))
-        picked = np.sort(np.argpartition(hashed, m - 1)[:m]) if len(grams) > m else np.arange(len(grams))
-        out[j] = _fold(j + 1, grams[picked].tolist())
+    block = max(1, 2_000_000 // n)  # bounds the table of a long text
+    for start in range(0, rules.sketches, block):
+        some = keys[start : start + block, None]
+        hashed = grams[None, :] * some
+        hashed ^= hashed >> U(32)
+        picked = np.sort(np.argpartition(hashed, m - 1, axis=1)[:, :m], axis=1) if n > m else np.tile(np.arange(n), (len(some), 1))
+        value = some[:, 0].copy()
+        for k in range(m):
+            value = _mix(value * U(0x9E3779B97F4A7C15) + grams[picked[:, k]])
+        out[start : start + block] = value
     return out.view(np.int64).tolist()
 
 
-def align(a: list[str], b: list[str], most: int) -> tuple[int, list[tuple[int, int]]] | None:
-    """Edit distance and matched runs (start in a, length) within a band of ``most``, or None.
+@functools.cache
+def _keys(n: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(1, 1 << 63, n, dtype=U) | U(1)
 
-    Furthest-reaching diagonals: for each number of edits, how far each diagonal gets; the
-    places where a diagonal's words differ are found once.
+
+CELLS = 4_000_000
+
+
+def align(x: np.ndarray, y: np.ndarray, most: int) -> tuple[int, list[tuple[int, int]]] | None:
+    """Edit distance and matched runs (start in x, length) within a band of ``most``, or None.
+
+    The band starts narrow and doubles.  Within it, for each number of edits, each diagonal
+    keeps the furthest row it reaches; a table says where a diagonal's next difference is.
     """
-    number: dict[str, int] = {}
-    x = np.fromiter((number.setdefault(w, len(number)) for w in a), "i4", len(a))
-    y = np.fromiter((number.setdefault(w, len(number)) for w in b), "i4", len(b))
-    n, m = len(x), len(y)
-    if abs(n - m) > most:
+    if abs(len(x) - len(y)) > most:
         return None
+    band = min(most, max(4, abs(len(x) - len(y))))
+    while True:
+        found = _in_band(x, y, band)
+        if found is not None or band >= most:
+            return found
+        band = min(most, band * 2)
+
+
+def _next_differences(x: np.ndarray, y: np.ndarray, band: int):
+    """A function (diagonals from -band, rows) -> rows of the next difference or end."""
+    n, m = len(x), len(y)
+
+    def differing(low: int, high: int, d: int) -> np.ndarray:
+        return np.flatnonzero(x[low:high] != y[low + d : high + d]) + low
+
+    if (2 * band + 1) * (n + 1) <= CELLS:
+        rows = np.arange(n)
+        columns = rows[None, :] + np.arange(-band, band + 1)[:, None]
+        inside = (columns >= 0) & (columns < m)
+        same = inside & (x[None, :] == y[np.clip(columns, 0, max(0, m - 1))]) if m else np.zeros(columns.shape, bool)
+        table = np.full((2 * band + 1, n + 1), n, "i4")
+        table[:, :n] = np.where(same, n, rows[None, :])
+        table = np.minimum.accumulate(table[:, ::-1], axis=1)[:, ::-1]
+        return lambda at, row: table[at, row]
+
     breaks: dict[int, np.ndarray] = {}
 
-    def run(diagonal: int, i: int) -> int:
-        """How far row i gets on the diagonal (column = row + diagonal) without an edit."""
-        stop = min(n, m - diagonal)
-        if i >= stop:
-            return i
-        cuts = breaks.get(diagonal)
-        if cuts is None:
-            low = max(0, -diagonal)
-            cuts = breaks[diagonal] = np.flatnonzero(x[low:stop] != y[low + diagonal : stop + diagonal]) + low
-        at = cuts.searchsorted(i)
-        return int(cuts[at]) if at < len(cuts) else stop
-
-    goal = m - n
-    reach: list[dict[int, tuple[int, int, int]]] = []  # per edits: diagonal -> (row before the run, row after, diagonal it came from)
-    for e in range(most + 1):
-        now: dict[int, tuple[int, int, int]] = {}
-        before = reach[-1] if reach else {}
-        for d in range(-e, e + 1):
-            if e == 0:
-                start, came = 0, 0
-            else:
-                start, came = -1, 0
-                for prior, step in ((d, 1), (d - 1, 0), (d + 1, 1)):
-                    if prior in before and before[prior][1] + step > start:
-                        start, came = before[prior][1] + step, prior
-                start = min(start, n, m - d)
-                if start < max(0, -d):
-                    continue
-            now[d] = (start, run(d, start), came)
-        reach.append(now)
-        if goal in now and now[goal][1] >= n:
-            runs, d = [], goal
-            for level in range(e, -1, -1):
-                start, stop, came = reach[level][d]
-                if stop > start:
-                    runs.append((start, stop - start))
-                d = came
-            return e, runs[::-1]
-    return None
-
-
-def common_shingles(a: Counter, b: Counter) -> int:
-    return sum((a & b).values())
-
-
-def compare(a: list[str], b: list[str], similarity: float) -> float:
+    def searched(at: np.ndarray, row: np.ndarray) -> np.ndarray:
+        out = row.copy()
+        for i, (k, r) in enumerate(zip(at.tolist(), row.tolist())):
+            d = k - band
+            stop = min(n, m - d)
+            if r < stop:
+                if d not in breaks:
+                    breaks[d] = differing(max(0, -d), stop, d)
+                j = breaks[d].searchsorted(r)
+                out[i] = breaks[d][j] if j < len(breaks[d]) else stop
+        return out
+
+    return searched
+
+
+def _in_band(x: np.ndarray, y: np.ndarray, band: int) -> tuple[int, list[tuple[int, int]]] | None:
+    n, m = len(x), len(y)
+    diagonals = np.arange(-band, band + 1)
+    last, first, goal = np.minimum(n, m - diagonals), np.maximum(0, -diagonals), m - n + band
+    onward = _next_differences(x, y, band)
+    levels: list[tuple[np.ndarray, np.ndarray]] = []
+    start = np.full(2 * band + 1, -9, "i8")
+    start[band] = 0
+    for edits in range(band + 1):
+        if edits:
+            before = levels[-1][1]
+            start = before + 1
+            start[1:] = np.maximum(start[1:], before[:-1])
+            start[:-1] = np.maximum(start[:-1], before[1:] + 1)
+            start = np.minimum(start, last)
+            start[start < first] = -9
+        stop = start.copy()
+        on = np.flatnonzero(start >= 0)
+        stop[on] = onward(on, start[on])
+        levels.append((start, stop))
+        if stop[goal] >= n:
+            break
+    else:
+        return None
+    runs, at = [], goal
+    for level in range(edits, -1, -1):
+        start, stop = (int(v[at]) for v in levels[level])
+        if stop > start:
+            runs.append((start, stop - start))
+        if level:
+            before = levels[level - 1][1]
+            moves = ((at, 1), (at - 1, 0), (at + 1, 1))
+            at = next(k for k, step in moves if 0 <= k <= 2 * band and before[k] >= 0 and min(before[k] + step, last[at]) == start)
+    return edits, runs[::-1]
+
+
+def prepared(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed words and sorted labelled shingles of a text."""
+    h = word_hashes(words_of(text))
+    return h, np.sort(labelled(shingles(h)))
+
+
+def compare(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], similarity: float) -> float:
     """Aligned share of shingles, of the longer text's; 0 where it cannot reach the threshold."""
-    n = max(len(a), len(b)) - K + 1
+    (x, x_grams), (y, y_grams) = a, b
+    n = max(len(x), len(y)) - K + 1
     if n < 1:
-        return 1.0 if a == b else 0.0
-    if min(len(a), len(b)) - K + 1 < similarity * n:
+        return float(np.array_equal(x, y))
+    if min(len(x), len(y)) - K + 1 < similarity * n:
         return 0.0
-    grams = [Counter(shingles(w).tolist()) for w in (a, b)]
-    if common_shingles(*grams) < similarity * n:
+    if len(np.intersect1d(x_grams, y_grams, assume_unique=True)) < similarity * n:
         return 0.0
     # each edit outside the runs breaks a shingle, so the band follows from the threshold
-    found = align(a, b, int((1 - similarity) * n) + K)
+    found = align(x, y, int((1 - similarity) * n) + K)
     if found is None:
         return 0.0
     return sum(max(0, length - K + 1) for _, length in found[1]) / n
@@ -192,7 +233,7 @@ def text_nodes(docs: DataFrame, rules: SketchRules) -> DataFrame:
                 words = words_of(text)
                 nodes.append(xxhash.xxh3_128_digest(" ".join(words)))
                 sizes.append(len(words))
-                sketches.append(sketch(words, rules) if words else [])
+                sketches.append(sketch(labelled(shingles(word_hashes(words))), rules) if words else [])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("fp"), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.list_(pa.int64()))], names=["doc_id", "fp", "node", "n_words", "sketch"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), fingerprint().alias("fp"))
@@ -205,7 +246,7 @@ def rarest_shingles(texts: DataFrame, rules: SketchRules) -> DataFrame:
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for node, text in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist()):
-                grams = labelled(shingles(words_of(text))).view(np.int64)
+                grams = labelled(shingles(word_hashes(words_of(text)))).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([node] * len(grams), pa.binary()), pa.array(grams), pa.array(np.full(len(grams), len(grams)))], names=["node", "gram", "n"])
 
     grams = cut(texts.mapInArrow(spread, "node binary, gram long, n long"))
@@ -215,19 +256,33 @@ def rarest_shingles(texts: DataFrame, rules: SketchRules) -> DataFrame:
     return first.where("often > 1").select("gram", "node", "n")
 
 
+def pairs_across(rare: DataFrame, components: DataFrame, rules: SketchRules, representatives: bool) -> DataFrame:
+    """Pairs (a, b) of texts with a rare shingle in common, in different components, near enough in size."""
+    placed = rare.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = placed.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("gram")
+    across = placed.join(several, "gram", "left_semi")
+    if representatives:
+        ends = across.groupBy("gram", "component").agg(F.min(F.struct("node", "n")).alias("low"), F.max(F.struct("node", "n")).alias("high"))
+        across = ends.select("gram", "component", F.explode(F.array_distinct(F.array("low", "high"))).alias("end")).select("gram", "component", "end.node", "end.n")
+    one = across.select("gram", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("component").alias("a_in"))
+    two = across.select("gram", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("component").alias("b_in"))
+    near = F.least("a_n", "b_n") >= rules.similarity * F.greatest("a_n", "b_n") - 1e-9
+    return one.join(two, "gram").where((F.col("a") < F.col("b")) & (F.col("a_in") != F.col("b_in")) & near).select("a", "b").distinct()
+
+
 def verify(pairs: DataFrame, texts: DataFrame, rules: SketchRules) -> DataFrame:
     """Adds ``similar`` to the pairs (a, b) of nodes; ``texts`` has node and text once each."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[bytes, list[str]] = (b"", [])
+        last: tuple = (b"", None)
         for batch in batches:
             scores = []
             a_nodes, a_texts, b_texts = (batch.column(c) for c in ("a", "a_text", "b_text"))
             for i in range(batch.num_rows):
                 node = a_nodes[i].as_py()
                 if node != last[0]:
-                    last = (node, words_of(a_texts[i].as_py()))
-                scores.append(compare(last[1], words_of(b_texts[i].as_py()), rules.similarity))
+                    last = (node, prepared(a_texts[i].as_py()))
+                scores.append(compare(last[1], prepared(b_texts[i].as_py()), rules.similarity))
             yield pa.RecordBatch.from_arrays([a_nodes, batch.column("b"), pa.array(scores, pa.float64())], names=["a", "b", "similar"])
 
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("a_text"))
@@ -246,9 +301,8 @@ def near_duplicates(docs: DataFrame, rules: SketchRules = SketchRules()) -> Data
     owners = rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "sketch")).alias("own"))
     nodes = cut(owners.select("node", F.col("own.doc_id").alias("doc_id"), F.col("own.fp").alias("fp"), F.col("own.sketch").alias("sketch")))
     entries = nodes.select(F.posexplode("sketch").alias("no", "value"), "node").select(F.xxhash64("no", "value").alias("bucket"), "node")
-    # the picked text of a bucket differs from bucket to bucket, also where groups are the same
-    pick = F.min_by("node", F.xxhash64("bucket", "node"))
-    counts = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), pick.alias("first")).where("n > 1")
+    # the lowest node is most often the same in a group's buckets, so their pairs are the same
+    counts = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).where("n > 1")
     buckets = cut(entries.join(counts, "bucket"))
     met = cut(buckets.groupBy("node").agg(F.max(F.col("n") > rules.small).alias("large")))
 
@@ -264,18 +318,16 @@ def near_duplicates(docs: DataFrame, rules: SketchRules = SketchRules()) -> Data
     links = cut(verify(pairs, texts, rules).where(F.col("similar") >= rules.similarity).select("a", "b"))
     components = connected_components(links, "a", "b")
 
-    open_texts = texts.join(met.where("large"), "node", "left_semi")
-    rare = rarest_shingles(open_texts, rules).join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    rare = cut(rare)
-    several = rare.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("gram")
-    across = rare.join(several, "gram", "left_semi")
-    one = across.select("gram", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("component").alias("a_in"))
-    two = across.select("gram", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("component").alias("b_in"))
-    near = F.least("a_n", "b_n") >= rules.similarity * F.greatest("a_n", "b_n") - 1e-9
-    more = cut(one.join(two, "gram").where((F.col("a") < F.col("b")) & (F.col("a_in") != F.col("b_in")) & near).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
+    rare = cut(rarest_shingles(texts.join(met.where("large"), "node", "left_semi"), rules))
+    checked = pairs
+    # first the lowest and highest text of each component at a shingle, which joins most; then all
+    for representatives in (True, False):
+        more = cut(pairs_across(rare, components, rules, representatives).join(checked, ["a", "b"], "left_anti"))
+        if more.isEmpty():
+            continue
         links = cut(links.unionByName(verify(more, texts, rules).where(F.col("similar") >= rules.similarity).select("a", "b")))
         components = connected_components(links, "a", "b")
+        checked = checked.unionByName(more)
     degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     marked = rows.select("doc_id", "fp", "node").join(components, "node", "left").join(degree, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = marked.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("keeper"))
