@@ -353,6 +353,8 @@ def normalise_run(events: DataFrame, starts: DataFrame) -> DataFrame:
 
 def compare_runs(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows in one normalised run but not in the other, with multiplicity."""
-    return left.exceptAll(right).withColumn("side", F.lit("left")).unionByName(
-        right.exceptAll(left).withColumn("side", F.lit("right"))
-    )
+    columns = left.columns
+    both = left.withColumn("_more", F.lit(1)).unionByName(right.withColumn("_more", F.lit(-1)))
+    apart = both.groupBy(*columns).agg(F.sum("_more").alias("_more")).where("_more <> 0")
+    side = F.when(F.col("_more") > 0, "left").otherwise("right").alias("side")
+    return apart.select(*columns, side, F.explode(F.sequence(F.lit(1), F.abs("_more").cast("int")))).drop("col")

@@ -244,6 +244,19 @@ def blast_radius(edges: DataFrame, primaries: DataFrame, hops: int | None, direc
     return affected, counts.join(cut, "primary_service").withColumn("max_hops", F.lit(hops))
 
 
+def snapshot_sizes(nodes: DataFrame, edges: DataFrame, max_nodes: int | None = None, max_edges: int | None = None) -> DataFrame:
+    """(topology_version, nodes, edges, within_limits) of all snapshots in one aggregate; both frames have topology_version."""
+    marked = nodes.select("topology_version", F.lit(1).alias("_n"), F.lit(0).alias("_e")).unionByName(
+        edges.select("topology_version", F.lit(0).alias("_n"), F.lit(1).alias("_e"))
+    )
+    counted = marked.groupBy("topology_version").agg(F.sum("_n").alias("nodes"), F.sum("_e").alias("edges"))
+    fits = F.lit(True)
+    for name, limit in (("nodes", max_nodes), ("edges", max_edges)):
+        if limit is not None:
+            fits = fits & (F.col(name) <= limit)
+    return counted.withColumn("within_limits", fits)
+
+
 def check_snapshot(nodes: DataFrame, edges: DataFrame, expected_version: str | None = None,
                    max_nodes: int | None = None, max_edges: int | None = None) -> None:
     """Optional assertions on one snapshot: a single known version, size limits if given."""
