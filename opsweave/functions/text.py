@@ -17,6 +17,7 @@ UNSAFE_PATTERNS = (
     r"\b0x[0-9A-Fa-f]+\b",
     r"^[\[{].*[\]}]$",
 )
+# The replacement of an unsafe message, and the longest one kept.
 SAFE_MESSAGE = "Operation failed"
 MAX_MESSAGE = 500
 

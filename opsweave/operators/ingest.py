@@ -161,23 +161,23 @@ def parse_context(raw: DataFrame) -> DataFrame:
     def verdict(kind: str, message: str) -> Column:
         return F.struct(F.lit(kind).alias("kind"), F.lit(message).alias("note"))
 
-    bad = F.when(F.col("headers").isNull(), verdict("missing", "Record headers are missing"))
+    bad = F.when(F.col("headers").isNull(), verdict("missing", "no headers"))
     for h in CONTEXT_HEADERS:
-        bad = bad.when(absent(h), verdict("missing", f"Missing required execution header: '{h}'"))
-        bad = bad.when(repeated(h), verdict("duplicate", f"Duplicate required execution header: '{h}'"))
+        bad = bad.when(absent(h), verdict("missing", f"header {h} is absent"))
+        bad = bad.when(repeated(h), verdict("duplicate", f"header {h} occurs more than once"))
     seed = text("seed")
     digits = F.regexp_replace(F.trim(seed), "_", "")
     integer = F.trim(seed).rlike(r"^[+-]?\d+(_\d+)*$")
     number = digits.try_cast("decimal(38,0)")
     in_range = F.coalesce((number >= 0) & (number <= F.lit(MAX_UINT64).cast("decimal(38,0)")), F.lit(False))
     problems = [
-        (repeated("producer_version"), "duplicate", "Duplicate execution header: 'producer_version'"),
-        (F.exists("headers", lambda h: ~F.is_valid_utf8(h["value"].cast("string"))), "invalid", "Header contains invalid UTF-8 bytes"),
-        *[(text(h) == "", "invalid", f"Header '{h}' cannot be empty") for h in ("scenario_id", "scenario_version", "reproducibility_key", "run_id")],
-        (~is_uuid(text("run_id")), "invalid", "Header 'run_id' is not a valid UUID"),
-        (seed == "", "invalid", "Header 'seed' cannot be empty"),
-        (~integer, "invalid", "Header 'seed' is not a valid integer"),
-        (~in_range, "invalid", "Header 'seed' must be in range [0, 2^64 - 1]"),
+        (repeated("producer_version"), "duplicate", "header producer_version occurs more than once"),
+        (F.exists("headers", lambda h: ~F.is_valid_utf8(h["value"].cast("string"))), "invalid", "a header is not UTF-8"),
+        *[(text(h) == "", "invalid", f"header {h} is empty") for h in ("scenario_id", "scenario_version", "reproducibility_key", "run_id")],
+        (~is_uuid(text("run_id")), "invalid", "header run_id is no UUID"),
+        (seed == "", "invalid", "header seed is empty"),
+        (~integer, "invalid", "header seed is no integer"),
+        (~in_range, "invalid", "header seed is outside the unsigned 64-bit range"),
     ]
     for cond, label, message in problems:
         bad = bad.when(cond, verdict(label, message))
