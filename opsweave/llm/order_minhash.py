@@ -290,6 +290,10 @@ def verify(pairs: DataFrame, texts: DataFrame, rules: SketchRules) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "a_text", "b_text").mapInArrow(check, "a binary, b binary, similar double")
 
 
+def similar_pairs(pairs: DataFrame, texts: DataFrame, rules: SketchRules) -> DataFrame:
+    return verify(pairs, texts, rules).where(F.col("similar") >= rules.similarity).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, rules: SketchRules = SketchRules()) -> DataFrame:
     """doc_id, fp, class_id, n_links and keep of each row of (doc_id, text).
 
@@ -315,19 +319,20 @@ def near_duplicates(docs: DataFrame, rules: SketchRules = SketchRules()) -> Data
     pairs = one.join(two, "bucket").where("a < b").select("a", "b")
     large = buckets.where(F.col("n") > rules.small).where("node <> first")
     pairs = cut(pairs.unionByName(large.select(F.least("first", "node").alias("a"), F.greatest("first", "node").alias("b"))).distinct())
-    links = cut(verify(pairs, texts, rules).where(F.col("similar") >= rules.similarity).select("a", "b"))
-    components = connected_components(links, "a", "b")
+    links = cut(similar_pairs(pairs, texts, rules))
 
     rare = cut(rarest_shingles(texts.join(met.where("large"), "node", "left_semi"), rules))
-    checked = pairs
-    # first the lowest and highest text of each component at a shingle, which joins most; then all
-    for representatives in (True, False):
-        more = cut(pairs_across(rare, components, rules, representatives).join(checked, ["a", "b"], "left_anti"))
-        if more.isEmpty():
-            continue
-        links = cut(links.unionByName(verify(more, texts, rules).where(F.col("similar") >= rules.similarity).select("a", "b")))
+    # first the lowest and highest text of each group at a shingle, which joins most; then all,
+    # between components.  For the first, a text's group is its lowest neighbour.
+    ends = links.select(F.col("a").alias("node"), F.col("a").alias("component")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("component")))
+    more = cut(pairs_across(rare, ends.groupBy("node").agg(F.min("component").alias("component")), rules, True).join(pairs, ["a", "b"], "left_anti"))
+    links = cut(links.unionByName(similar_pairs(more, texts, rules)))
+    components = cut(connected_components(links, "a", "b"))
+    last = pairs_across(rare, components, rules, False).join(pairs.unionByName(more), ["a", "b"], "left_anti")
+    found = cut(similar_pairs(last, texts, rules))
+    if not found.isEmpty():
+        links = cut(links.unionByName(found))
         components = connected_components(links, "a", "b")
-        checked = checked.unionByName(more)
     degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     marked = rows.select("doc_id", "fp", "node").join(components, "node", "left").join(degree, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = marked.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("keeper"))

@@ -32,7 +32,7 @@ def test_banded_alignment_finds_the_edit_distance():
             at = rng.randint(0, len(b))
             b[at : at + rng.randint(0, 1)] = rng.choice([[], ["x"], ["a", "b"]])
         want = edit_distance(a, b)
-        found = order_minhash.align(a, b, 8)
+        found = order_minhash.align(order_minhash.word_hashes(a), order_minhash.word_hashes(b), 8)
         assert (found is None) == (want > 8)
         if found:
             assert found[0] == want
@@ -70,7 +70,8 @@ def brute_links(texts, similarity=0.8):
             for j in group:
                 if i < j:
                     met[i, j] += 1
-    return {(i, j) for (i, j), n in met.items() if n >= 3 and split[i] != split[j] and order_minhash.compare(split[i], split[j], similarity) >= similarity}
+    ready = [order_minhash.prepared(t or "") for t in texts]
+    return {(i, j) for (i, j), n in met.items() if n >= 3 and split[i] != split[j] and order_minhash.compare(ready[i], ready[j], similarity) >= similarity}
 
 
 def classes(n, links, texts):
