@@ -311,7 +311,7 @@ def signal_handoff(spark, folder):
     svc = F.col("event.service")
     spoiled = (
         out.withColumn("_svc", svc)
-        .withColumn("event", F.when(F.col("_svc") == "click", F.col("event").withField("severity", F.lit("debug")))
+        .withColumn("event", F.when(F.col("_svc") == "click", F.col("event").withField("severity", F.when(F.col("event.severity") == "debug", "critical").otherwise("debug")))
                     .when(F.col("_svc") == "signup", F.col("event").withField("event_type", F.lit("metric"))).otherwise(F.col("event")))
         .withColumn("ctx", F.when(F.col("_svc") == "view", F.col("ctx").withField("scenario_id", F.lit("other"))).otherwise(F.col("ctx")))
         .withColumn("key", F.when(F.col("_svc") == "error", F.encode(F.lit("x:y:z"), "UTF-8")).otherwise(F.col("key")))
