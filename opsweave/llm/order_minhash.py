@@ -47,7 +47,7 @@ class _WordHash(dict):
     """64-bit hashes of words, kept while the worker lives."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 250_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
