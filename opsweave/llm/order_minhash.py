@@ -1,10 +1,12 @@
-"""Near duplicates by Order MinHash, verified by banded alignment.
+"""Near duplicates by Order MinHash, verified by alignment.
 
 A text's k-mers are its five-word shingles, each labelled with its occurrence number.  A
 sketch takes the ``picks`` smallest under one hash and keeps them in text order, so two texts
 share it only if they share those shingles in that order.  Texts with a sketch in common are
-candidates.  A candidate pair is verified by aligning its words within a band; the
-similarity is the share of shingles that lie inside aligned runs, of the longer text's.
+candidates.  A candidate pair's similarity is the share of shingles that both have in the
+same order, of the longer text's.  An alignment of the words within a narrow band settles pairs
+with few edits; for all others the longest common subsequence of shingles decides, without a bound
+on edits, so moved and replaced blocks cost no more than the shingles they break.
 
 Equal texts are one node.  In a bucket of up to ``small`` texts all pairs are compared.  In a
 larger one all are compared with one of them, the lowest, so a group of n copies costs some
@@ -18,6 +20,7 @@ not among its pages' rarest shingles, and brings no pairs.
 from __future__ import annotations
 
 import functools
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -112,6 +115,9 @@ def _keys(n: int, seed: int) -> np.ndarray:
 
 
 CELLS = 4_000_000
+NARROW = 16  # edits up to which pairs are aligned by words
+DENSE = 8  # equal pairs of shingles a shingle, beyond which they are not listed
+MASK_BITS = 500_000_000
 
 
 def align(x: np.ndarray, y: np.ndarray, most: int) -> tuple[int, list[tuple[int, int]]] | None:
@@ -206,8 +212,46 @@ def prepared(text: str) -> tuple[np.ndarray, np.ndarray]:
     return h, np.sort(labelled(shingles(h)))
 
 
+def shared_in_order(x: np.ndarray, y: np.ndarray) -> int:
+    """Length of the longest common subsequence of two arrays of shingles."""
+    order = np.argsort(y, kind="stable")
+    ordered = y[order]
+    low, high = ordered.searchsorted(x, "left"), ordered.searchsorted(x, "right")
+    counts = high - low
+    total = int(counts.sum())
+    if total <= DENSE * (len(x) + len(y)):
+        # places in y, latest first within a shingle of x: the longest rising sequence
+        places = order[np.repeat(high - 1 + np.cumsum(counts) - counts, counts) - np.arange(total)]
+        tails: list[int] = []
+        for j in places.tolist():
+            k = bisect_left(tails, j)
+            if k == len(tails):
+                tails.append(j)
+            else:
+                tails[k] = j
+        return len(tails)
+    # shingles that repeat often: a bit per place in y, cleared where the subsequence grows
+    whole = free = (1 << len(y)) - 1
+    masks: dict[int, int] = {}
+    for i in np.flatnonzero(counts).tolist():
+        at = int(low[i])
+        mask = masks.get(at)
+        if mask is None:
+            if len(masks) * len(y) > MASK_BITS:
+                masks.clear()
+            flags = np.zeros(len(y), "u1")
+            flags[order[at : high[i]]] = 1
+            mask = masks[at] = int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little")
+        met = free & mask
+        free = ((free + met) | (free - met)) & whole
+    return len(y) - free.bit_count()
+
+
 def compare(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], similarity: float) -> float:
-    """Aligned share of shingles, of the longer text's; 0 where it cannot reach the threshold."""
+    """Share of shingles in the same order, of the longer text's; 0 where it cannot reach the threshold.
+
+    Where an alignment of few edits reaches the threshold, its share is returned.
+    """
     (x, x_grams), (y, y_grams) = a, b
     n = max(len(x), len(y)) - K + 1
     if n < 1:
@@ -216,11 +260,9 @@ def compare(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray],
         return 0.0
     if len(np.intersect1d(x_grams, y_grams, assume_unique=True)) < similarity * n:
         return 0.0
-    # each edit outside the runs breaks a shingle, so the band follows from the threshold
-    found = align(x, y, int((1 - similarity) * n) + K)
-    if found is None:
-        return 0.0
-    return sum(max(0, length - K + 1) for _, length in found[1]) / n
+    found = align(x, y, NARROW)
+    aligned = sum(max(0, length - K + 1) for _, length in found[1]) / n if found else 0.0
+    return aligned if aligned >= similarity else shared_in_order(shingles(x), shingles(y)) / n
 
 
 def text_nodes(docs: DataFrame, rules: SketchRules) -> DataFrame:
