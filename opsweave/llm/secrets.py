@@ -1,19 +1,24 @@
 """Secret scan: fixed patterns, and sliding-window entropy per character class.
 
-A candidate is a run of one class's characters.  A window of fixed width slides over it;
-its Shannon entropy follows from the counts of its characters, of which each step changes
-two.  Windows above the class's threshold merge into spans; spans that the allow-list
+A candidate is a run of one class's characters.  A window slides over it, of fixed width or as
+long as a shorter run; its Shannon entropy follows from the counts of its characters, of which each step changes
+two.  Windows above the thresholds of class and width merge into spans; spans that the allow-list
 covers are suppressed.  Everything is decided within a text, so rows never meet and the
 scan is one pass without a shuffle.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
 import math
+import operator
 import re
+import string
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -30,16 +35,45 @@ MIN_ASSIGNED = 6
 
 @dataclass(frozen=True)
 class CharacterClass:
-    """Runs of ``pattern`` are candidates; a window is suspicious from ``bits`` on."""
+    """Runs of ``pattern`` are candidates; keys drawn from ``alphabet`` are to be found."""
 
     pattern: str
-    bits: float
+    alphabet: str
+
+
+LOWER, UPPER, DIGITS = string.ascii_lowercase, string.ascii_uppercase, string.digits
+SHORTEST, WINDOW = 16, 24
+CLASSES = (
+    CharacterClass(r"[0-9A-Fa-f]{16,}", DIGITS + "abcdef"),
+    CharacterClass(r"[A-Z0-9]{16,}", UPPER + "234567"),
+    CharacterClass(r"[a-z0-9]{16,}", LOWER + DIGITS),
+    CharacterClass(r"[A-Za-z]{16,}", UPPER + LOWER),
+    CharacterClass(r"[A-Za-z0-9]{16,}", UPPER + LOWER + DIGITS),
+    CharacterClass(r"[A-Za-z0-9+/_=-]{16,}", UPPER + LOWER + DIGITS + "+/"),
+)
+# Shares of random keys of an alphabet and length that may fall below each threshold: recall is
+# at least 98.5 % for keys as long as the window, and higher for longer ones.
+MISSED_BITS, MISSED_TURNS = 0.01, 0.005
+
+
+def kind_of(ch: str) -> int:
+    return 0 if ch in LOWER else 1 if ch in UPPER else 2 if ch in DIGITS else 3
 
 
-# A random window of 24 hexadecimal digits has 3.4 bits on average, of 24 base-64
-# characters 4.4; words and counters stay below the thresholds.
-CLASSES = (CharacterClass(r"[0-9A-Fa-f]{24,}", 3.1), CharacterClass(r"[A-Za-z0-9+/_=-]{24,}", 4.1))
-WINDOW = 24
+@functools.cache
+def thresholds(alphabet: str, width: int) -> tuple[float, int]:
+    """Bits of entropy, and changes between lower case, upper case, digits and signs, of random keys.
+
+    Drawn once for each alphabet and width; words and counters have fewer of one or the other.
+    """
+    draws, size = 10_000, len(alphabet)
+    keys = np.random.default_rng(20_240_601).integers(0, size, (draws, width))
+    counts = np.bincount((keys + np.arange(draws)[:, None] * size).ravel(), minlength=draws * size).reshape(draws, size)
+    bits = math.log2(width) - (counts * np.log2(np.maximum(counts, 1))).sum(axis=1) / width
+    kinds = np.array([kind_of(ch) for ch in alphabet])[keys]
+    turns = (kinds[:, 1:] != kinds[:, :-1]).sum(axis=1)
+    return float(np.quantile(bits, MISSED_BITS, method="lower")), int(np.quantile(turns, MISSED_TURNS, method="lower"))
+
 
 # What is known to be no secret, though it looks random.
 ALLOW = (
@@ -58,10 +92,14 @@ def assigned(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in ASSIGN.finditer(text) if len(m.group(1)) >= MIN_ASSIGNED]
 
 
-def high_windows(run: str, width: int, bits: float) -> list[tuple[int, int]]:
-    """Merged spans of the windows of ``run`` with at least ``bits`` of entropy."""
+def high_windows(run: str, width: int, bits: float, turns: int = 0) -> list[tuple[int, int]]:
+    """Merged spans of the windows of ``run`` with at least ``bits`` of entropy and ``turns`` changes of kind."""
     if len(run) < width:
         return []
+    changes = [0]  # up to each character
+    if turns:
+        kinds = [kind_of(ch) for ch in run]
+        changes += itertools.accumulate(map(operator.ne, kinds, kinds[1:]))
     terms = [0.0] + [c * math.log2(c) for c in range(1, width + 1)]
     counts: dict[str, int] = {}
     for ch in run[:width]:
@@ -78,7 +116,7 @@ def high_windows(run: str, width: int, bits: float) -> list[tuple[int, int]]:
                 c = counts.get(new, 0)
                 total += terms[c + 1] - terms[c]
                 counts[new] = c + 1
-        if total <= most + 1e-9:
+        if total <= most + 1e-9 and (not turns or changes[start + width - 1] - changes[start] >= turns):
             if found and start <= found[-1][1]:
                 found[-1] = (found[-1][0], start + width)
             else:
@@ -89,13 +127,14 @@ def high_windows(run: str, width: int, bits: float) -> list[tuple[int, int]]:
 def entropy_spans(text: str, classes, width: int, allow) -> list[tuple[int, int]]:
     """Spans of high entropy outside the allow-list, merged over the classes."""
     spans: list[tuple[int, int]] = []
-    for pattern, bits in classes:
+    for pattern, alphabet in classes:
         for m in pattern.finditer(text):
             run = m.group()
-            # words of letters alone, or of one case and no digit, are no keys
-            if run.isalpha() or run.isdigit():
+            # words in lower case, capitalised or not, and numbers are no keys
+            if run.isdigit() or run.isalpha() and run[1:].islower():
                 continue
-            spans += [(m.start() + a, m.start() + b) for a, b in high_windows(run, width, bits)]
+            fit = min(width, len(run))
+            spans += [(m.start() + a, m.start() + b) for a, b in high_windows(run, fit, *thresholds(alphabet, fit))]
     if not spans:
         return []
     spans.sort()
@@ -130,7 +169,7 @@ def scan_secrets(docs: DataFrame, classes=CLASSES, width: int = WINDOW, allow: t
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled = [(re.compile(c.pattern), c.bits) for c in classes]
+        compiled = [(re.compile(c.pattern), c.alphabet) for c in classes]
         allowed = re.compile("|".join(f"(?:{a})" for a in allow)) if allow else None
         for batch in batches:
             spans = [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in scan_text(t, compiled, width, allowed)] for t in batch.column("text").to_pylist()]
