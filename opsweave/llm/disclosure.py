@@ -1,7 +1,7 @@
 """Information-theoretic sanitisation of personal data.
 
 Patterns find protected entities: addresses, numbers and phones.  The corpus then tells
-which other terms reveal them.  A term t near an entity e has
+which other terms reveal them.  A term t in a text with an entity e has
 
     PMI(e, t) = log2(N * n(e, t) / (n(e) * n(t)))   and   IC(e) = log2(N / n(e)),
 
@@ -9,7 +9,7 @@ n counted over distinct texts; PMI reaches IC when t occurs with e only.  A term
 PMI >= generalise_at * IC is generalised to its kind of word, with PMI >= remove_at * IC it
 is removed.  Pairs need ``support`` texts, so that a chance meeting reveals nothing.
 
-All of it is DataFrame expressions.  Entities and the words around them are found in one
+All of it is DataFrame expressions.  Entities and the words of their texts are found in one
 pass; document frequencies are counted in a second one over all words of all texts, for
 the terms that are candidates.
 """
@@ -33,11 +33,12 @@ PATTERNS = {
 }
 KINDS = (*PATTERNS, "term")
 SPAN = "array<struct<start:long,end:long>>"
+TERM_SPANS = "array<struct<start:long,end:long,action:string>>"
 
 
 @dataclass(frozen=True)
 class DisclosureRules:
-    reach: int = 80
+    reach: int = 80  # not used: terms count and are marked in whole texts
     min_letters: int = 4
     support: int = 3
     generalise_at: float = 0.9
@@ -95,43 +96,28 @@ def entity_of(kind: str, value: Column) -> Column:
     return F.concat(F.lit(f"{kind}:"), digits(value) if kind in ("card", "phone") else F.lower(value))
 
 
-def words_around(text: Column, span: Column, kind: str, rules: DisclosureRules) -> Column:
-    """(entity, term, start, end) of the whole words within reach of a span."""
-    entity = entity_of(kind, span["value"])
-    first = F.greatest(span["start"] - rules.reach, F.lit(0))
-    before = F.substring(text, (first + 1).cast("int"), (span["start"] - first).cast("int"))
-    after = F.substring(text, (span["end"] + 1).cast("int"), F.lit(rules.reach))
-    word = r"\p{L}{%d,}+" % rules.min_letters
-    # a word that the reach cuts, or that touches the entity, is not whole
-    inner_before = r"(?<=[^\p{L}])" + word + r"(?=[^\p{L}])"
+def terms_of(text: Column, rules: DisclosureRules) -> Column:
+    """Distinct whole words of a text outside its addresses, in lower case."""
+    outside = F.regexp_replace(text, F.lit(PATTERNS["email"]), F.lit("@"))
+    return F.array_distinct(F.transform(F.regexp_extract_all(outside, F.lit(r"\p{L}{%d,}+" % rules.min_letters), F.lit(0)), lambda w: F.lower(w)))
 
-    def terms(part: Column, offset: Column) -> Column:
-        return F.transform(matches(part, inner_before), lambda m: F.struct(entity.alias("entity"), F.lower(m["value"]).alias("term"), (m["start"] + offset).alias("start"), (m["end"] + offset).alias("end")))
 
-    return F.concat(terms(before, first), terms(after, span["end"]))
-
-
-def with_contexts(found: DataFrame, rules: DisclosureRules) -> DataFrame:
-    """Adds ``around``; base spans without their values replace the arrays per kind."""
-    empty = F.array().cast("array<struct<entity:string,term:string,start:long,end:long>>")
-
-    def near(kind: str) -> Column:
-        return F.flatten(F.transform(F.col(kind), lambda s: words_around(F.col("text"), s, kind, rules)))
+def with_terms(found: DataFrame, rules: DisclosureRules) -> DataFrame:
+    """Adds the entities and, where there are any, the terms of a text; base spans without their values replace the arrays per kind."""
 
     def values(kind: str) -> Column:
         return F.transform(F.col(kind), lambda s: entity_of(kind, s["value"]))
 
-    around = [near(k) for k in PATTERNS]
+    none = F.array().cast("array<string>")
     held = F.array_distinct(F.concat(*map(values, PATTERNS)))
     some = sum((F.size(k) for k in PATTERNS), F.lit(0)) > 0
     plain = [F.transform(F.col(k), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(k) for k in PATTERNS]
-    return found.select("doc_id", "fp", *plain, F.when(some, held).otherwise(F.array().cast("array<string>")).alias("entities"), F.when(some, F.array_distinct(F.concat(*around))).otherwise(empty).alias("around"))
+    return found.select("doc_id", "fp", *plain, F.when(some, held).otherwise(none).alias("entities"), F.when(some, terms_of(F.col("text"), rules)).otherwise(none).alias("terms"))
 
 
-def revealing_terms(docs: DataFrame, contexts: DataFrame, rules: DisclosureRules) -> DataFrame:
+def revealing_terms(docs: DataFrame, found: DataFrame, rules: DisclosureRules) -> DataFrame:
     """(entity, term, ratio) of the pairs whose PMI is at least ``generalise_at`` of the entity's IC."""
-    pairs = contexts.select("fp", F.explode("around").alias("a")).select("fp", F.col("a.entity").alias("entity"), F.col("a.term").alias("term")).distinct()
-    n_e = contexts.select("fp", F.explode("entities").alias("entity")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+    held = cut(found.where(F.size("entities") > 0).select("fp", "entities", "terms").dropDuplicates(["fp"]))
     total = float(docs.select(fingerprint().alias("fp")).distinct().count())
 
     def ratio(n_term: str) -> Column:
@@ -139,31 +125,62 @@ def revealing_terms(docs: DataFrame, contexts: DataFrame, rules: DisclosureRules
         pmi = F.log2(F.lit(total) * F.col("n_et") / (F.col("n_e") * F.col(n_term)))
         return F.when(information > 0, pmi / information).otherwise(0.0)
 
-    # a term is in at least as many texts as it is near entities: who fails with that fails
-    near = pairs.select("fp", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
-    supported = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= rules.support)
-    open_pairs = cut(supported.join(n_e, "entity").join(near, "term").where(ratio("n_near") >= rules.generalise_at))
+    # n_et is n_e at most, so a term in more texts than this cannot reach the ratio
+    most = F.col("n_e") * F.pow(F.lit(total) / F.col("n_e"), 1 - rules.generalise_at) * (1 + 1e-9)
+    n_e = held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).where((F.col("n_e") >= rules.support) & (F.col("n_e") < total))
+    n_e = cut(n_e.withColumn("most", most))
+    highest = n_e.agg(F.max("most")).first()[0] or 0.0
+    # a term is in at least as many texts as in those with entities: who fails with that fails
+    near = cut(held.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_near")).where(F.col("n_near").between(rules.support, highest)))
+    text_entities = held.select("fp", F.explode("entities").alias("entity")).join(small_side(n_e), "entity")
+    text_terms = held.select("fp", F.explode("terms").alias("term")).join(small_side(near), "term")
+    pairs = text_entities.join(text_terms, "fp").where(F.col("n_near") <= F.col("most")).groupBy("entity", "term", "n_e", "n_near").agg(F.count(F.lit(1)).alias("n_et"))
+    open_pairs = cut(pairs.where((F.col("n_et") >= rules.support) & (ratio("n_near") >= rules.generalise_at)))
     terms = cut(open_pairs.select("term").distinct())
-    words = docs.select(fingerprint().alias("fp"), F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+"))).alias("term"))
+    words = docs.select(fingerprint().alias("fp"), F.explode(F.array_distinct(F.transform(F.split(F.coalesce("text", F.lit("")), r"[^\p{L}]+"), lambda w: F.lower(w)))).alias("term"))
     n_t = words.join(small_side(terms), "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     scored = open_pairs.join(n_t, "term").withColumn("ratio", ratio("n_t"))
     return cut(scored.where(F.col("ratio") >= rules.generalise_at).select("entity", "term", "ratio"))
 
 
+def marked(text: Column, actions: Column) -> Column:
+    """(start, end, action) of every word outside addresses that the map ``actions`` has; linear in the text."""
+    piece = lambda gap, length, action: F.struct(gap.cast("long").alias("gap"), length.cast("long").alias("length"), action.cast("string").alias("action"))
+
+    def words(part: Column) -> Column:
+        found, gaps = F.regexp_extract_all(part, F.lit(r"\p{L}++"), F.lit(0)), F.split(part, r"\p{L}++", -1)
+        return F.zip_with(found, gaps, lambda w, g: piece(F.coalesce(F.char_length(g), F.lit(0)), F.coalesce(F.char_length(w), F.lit(0)), F.try_element_at(actions, F.coalesce(F.lower(w), F.lit("")))))
+
+    address = F.lit(PATTERNS["email"])
+    parts = F.zip_with(F.split(text, address, -1), F.regexp_extract_all(text, address, F.lit(0)), lambda p, e: F.concat(words(p), F.array(piece(F.coalesce(F.char_length(e), F.lit(0)), F.lit(0), F.lit(None)))))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(TERM_SPANS).alias("out"))
+
+    def step(acc: Column, p: Column) -> Column:
+        a = acc["at"] + p["gap"]
+        b = a + p["length"]
+        more = F.concat(acc["out"], F.array(F.struct(a.alias("start"), b.alias("end"), p["action"].alias("action"))))
+        return F.struct(b.alias("at"), F.when(p["action"].isNull(), acc["out"]).otherwise(more).alias("out"))
+
+    return F.aggregate(F.flatten(parts), start, step, lambda acc: acc["out"])
+
+
 def find_disclosures(docs: DataFrame, rules: DisclosureRules = DisclosureRules()) -> DataFrame:
     """doc_id, fp, the spans of each kind, and ``term`` spans with their action.
 
     Rows are (doc_id, text); a null text is empty.  A row per input row, repeated rows too.
-    Copies count as one text in the statistics.
+    Copies count as one text in the statistics.  A revealing term is marked wherever it stands,
+    also in texts without the entity.
     """
-    found = cut(with_contexts(entities(docs), rules))
-    revealing = revealing_terms(docs, found, rules)
-    places = found.select("doc_id", "fp", F.explode("around").alias("a")).select("doc_id", "fp", F.col("a.entity").alias("entity"), F.col("a.term").alias("term"), F.col("a.start").alias("start"), F.col("a.end").alias("end"))
+    found = cut(with_terms(entities(docs), rules))
     action = F.when(F.col("ratio") >= rules.remove_at, "remove").otherwise("generalise")
-    reached = places.join(small_side(revealing), ["entity", "term"]).groupBy("doc_id", "fp", "start", "end").agg(F.max(action).alias("action"))
-    terms = cut(reached.groupBy(F.col("doc_id").alias("_doc"), F.col("fp").alias("_fp")).agg(F.sort_array(F.collect_list(F.struct("start", "end", "action"))).alias("term")))
+    revealing = cut(revealing_terms(docs, found, rules).groupBy("term").agg(F.max(action).alias("action")))
+    text = docs.select(F.col("doc_id").cast("long").alias("_doc"), fingerprint().alias("_fp"), F.coalesce("text", F.lit("")).alias("text"))
+    same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_fp") == F.col("_own"))
+    held = text.select("_doc", "_fp", F.explode(terms_of(F.col("text"), rules)).alias("term")).join(small_side(revealing), "term")
+    actions = cut(held.groupBy(F.col("_doc").alias("_id"), F.col("_fp").alias("_own")).agg(F.map_from_entries(F.collect_set(F.struct("term", "action"))).alias("actions")))
+    terms = cut(text.join(small_side(actions), same).select("_doc", "_fp", marked(F.col("text"), F.col("actions")).alias("term")).dropDuplicates(["_doc", "_fp"]))
     joined = found.join(small_side(terms), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("fp") == F.col("_fp")), "left")
-    return joined.select("doc_id", "fp", *PATTERNS, F.coalesce("term", F.array().cast("array<struct<start:long,end:long,action:string>>")).alias("term"))
+    return joined.select("doc_id", "fp", *PATTERNS, F.coalesce("term", F.array().cast(TERM_SPANS)).alias("term"))
 
 
 def disclosure_digest(found: DataFrame) -> DataFrame:
