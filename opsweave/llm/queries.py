@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from opsweave.llm import chat, decontaminate, disclosure, licences, line_quality, mixing, order_minhash, secrets, token_counts, token_files
+from opsweave.llm import chat, decontaminate, disclosure, licences, line_quality, mixing, order_minhash, quality_gam, secrets, spelling_variants, term_pipeline, token_counts, token_files
 from opsweave.llm.common import WORD, cut, shared_folder, table
 from opsweave.session import prepare
 
@@ -120,3 +120,18 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     counted = token_counts.prefix_token_counts(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     n = token_counts.n_tokens()
     return counted.select("doc_id", "n_bytes", n.alias("n_tokens"), (n > CONTEXT_TOKENS).alias("over_limit"))
+
+
+@query("op11_term_pipeline", term_pipeline.oracle())
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return term_pipeline.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op12_spelling_variants", spelling_variants.oracle())
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_variants.group_variants(table(spark, folder, "documents"))
+
+
+@query("op13_quality_gam")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_gam.score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
