@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from opsweave.functions.numeric import is_finite
 from opsweave.functions.skew import lookup_join
-from opsweave.operators import detectors, forest, reconstruct
+from opsweave.operators import detectors, forest, prefix_models, reconstruct
 from opsweave.session import materialise
 
 
@@ -82,12 +82,34 @@ def score_causal(
     trees: int = 100,
     bottleneck: int = 1,
     seed: int = 42,
+    max_samples: int = forest.MAX_SAMPLES,
+    max_features: float = 1.0,
+    bootstrap: bool = False,
+    contamination: float | None = 0.05,
 ) -> DataFrame:
     """Scores every window with ``model`` in ('isolation_forest', 'reconstruction').
 
+    With ``refit_every=1``, the rule, each window gets a model of all complete windows
+    before it (``prefix_models``), but for robust scaling of reconstructions, which goes
+    by blocks.  A forest then also gives ``sample_size``, ``score_offset`` and ``decision``
+    (raw score less the contamination quantile of the history's raw scores).
+
     The training rows are scored by their own model as well; their minimum, mean and
     deviation anchor the tail score.  Statuses follow ``multivariate_status``.
     """
+    if model not in ("isolation_forest", "reconstruction"):
+        raise ValueError(f"unknown model {model!r}")
+    if refit_every == 1 and not (model == "reconstruction" and scaling == "robust"):
+        if model == "isolation_forest":
+            fitted = prefix_models.default_forest(trees, seed, max_samples=max_samples, max_features=max_features, bootstrap=bootstrap)
+        else:
+            fitted, contamination = prefix_models.Reconstruction(len(columns), bottleneck, scaling), None
+        results = materialise(prefix_models.score_prefixes(windows, columns, keys, fitted, min_history, contamination))
+        scored = windows.join(results, [*keys, "window_index"], "left")
+        if model == "isolation_forest":
+            scored = scored.withColumn("decision", F.col("raw_score") - F.col("score_offset"))
+            return _judged(scored, columns, min_history, model, F.lit(-1.0), detectors.FOREST_TAIL)
+        return _judged(scored.drop("sample_size", "score_offset"), columns, min_history, model, F.lit(1.0), detectors.RECONSTRUCTION_TAIL)
     group = [*keys, "block"]
     targets, train = training_blocks(windows, columns, keys, refit_every)
     targets, train = _scaled(targets, train, columns, group, scaling)
@@ -98,15 +120,13 @@ def score_causal(
     both = materialise(ready.unionByName(learn))
     learn = both.where(~F.col("_target"))
     if model == "isolation_forest":
-        trees_df = forest.fit_forest(learn, group, "window_index", trees, seed)
+        trees_df = forest.fit_forest(learn, group, "window_index", trees, seed, max_samples, max_features, bootstrap)
         raw = forest.score_forest(both, trees_df, group, "window_index", slices=1)
         sign, tail = F.lit(-1.0), detectors.FOREST_TAIL
-    elif model == "reconstruction":
+    else:
         fit = reconstruct.fit_reconstruction(learn, group, len(columns), bottleneck)
         raw = reconstruct.reconstruction_error(both, fit, group, "window_index")
         sign, tail = F.lit(1.0), detectors.RECONSTRUCTION_TAIL
-    else:
-        raise ValueError(f"unknown model {model!r}")
     raw = materialise(raw.select(*group, "window_index", "_target", "raw_score"))
     oriented = sign * F.col("raw_score")
     reference = raw.where(~F.col("_target")).groupBy(*group).agg(
@@ -116,6 +136,11 @@ def score_causal(
     )
     hits = raw.where(F.col("_target")).select(*group, "window_index", "raw_score")
     scored = targets.join(hits, [*group, "window_index"], "left").join(reference, group, "left")
+    return _judged(scored, columns, min_history, model, sign, tail)
+
+
+def _judged(scored: DataFrame, columns: Sequence[str], min_history: int, model: str, sign: Column, tail: dict) -> DataFrame:
+    """Status, tail score and severity from the raw score and the history's scores."""
     finite = F.lit(True)
     for c in columns:
         finite = finite & is_finite(F.col(c))

@@ -132,13 +132,40 @@ def isolation_forest(spark, folder):
     return forest.score_forest(rows, model, ["model"], "vec_id").select("vec_id", round6(F.col("raw_score")).alias("raw_score"))
 
 
+SERVICE_FRAME = "OVER (PARTITION BY service ORDER BY window_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+
+def _causal(spark, folder, model):
+    """100 trees or one component, a fit per window."""
+    windows = W.extract(load(spark, folder, "observations"), BASE, ("service",))
+    return causal.score_causal(windows, BASE.columns, ("service",), model)
+
+
 @query("D4_isolation_forest_causal")
 def isolation_forest_causal(spark, folder):
-    windows = W.extract(load(spark, folder, "observations"), BASE, ("service",))
-    scored = causal.score_causal(windows, BASE.columns, ("service",), "isolation_forest", refit_every=24, trees=50)
+    scored = _causal(spark, folder, "isolation_forest")
     return scored.select("service", "window_index", "status", round6(F.col("anomaly_score")).alias("anomaly_score"), "severity")
 
 
+@query(
+    "D4_forest_windows",
+    f"""WITH {windows_sql(BASE, ("service",))},
+h AS (SELECT service, window_index, {_COMPLETE} AS complete, count(CASE WHEN {_COMPLETE} THEN 1 END) {SERVICE_FRAME} AS n FROM agg)
+SELECT service, window_index, n AS history_windows, CASE WHEN NOT complete THEN 'missing_features' WHEN n < 10 THEN 'insufficient_history' ELSE 'success' END AS status,
+  CASE WHEN complete AND n >= 10 THEN CAST(least(n, 256) AS INTEGER) END AS sample_size, CASE WHEN complete AND n >= 10 THEN true END AS in_range,
+  CASE WHEN complete AND n >= 10 THEN true END AS offset_in_range FROM h""",
+    ("observations",),
+)
+def forest_windows(spark, folder):
+    """Each window's history, status and sample size, and that score and offset are raw scores."""
+    scored = _causal(spark, folder, "isolation_forest")
+    fitted = F.col("sample_size").isNotNull()
+    within = lambda c: F.when(fitted, (F.col(c) >= -1) & (F.col(c) < 0))
+    return scored.select(
+        "service", "window_index", "history_windows", "status", "sample_size", within("raw_score").alias("in_range"), within("score_offset").alias("offset_in_range")
+    )
+
+
 @query("D5_reconstruction_error")
 def reconstruction(spark, folder):
     rows = _vectors(spark, folder)
@@ -147,10 +174,31 @@ def reconstruction(spark, folder):
     return out.select("vec_id", round6(F.col("raw_score")).alias("raw_score"), F.size("squared_errors").alias("width"))
 
 
-@query("D5_reconstruction_causal")
+# Two features: the direction that one component drops has a closed form in the covariance.
+RECONSTRUCTION_SQL = f"""WITH {windows_sql(BASE, ("service",))},
+c AS (SELECT service, window_index, {TARGET} AS x, {OTHER} AS y, {_COMPLETE} AS complete FROM agg),
+h AS (SELECT *, count(CASE WHEN complete THEN 1 END) {SERVICE_FRAME} AS n,
+  avg(CASE WHEN complete THEN x END) {SERVICE_FRAME} AS mx, avg(CASE WHEN complete THEN y END) {SERVICE_FRAME} AS my,
+  stddev_samp(CASE WHEN complete THEN x END) {SERVICE_FRAME} AS dx, stddev_samp(CASE WHEN complete THEN y END) {SERVICE_FRAME} AS dy,
+  covar_samp(CASE WHEN complete THEN x END, CASE WHEN complete THEN y END) {SERVICE_FRAME} AS cxy FROM c),
+s AS (SELECT *, CASE WHEN dx >= 1e-8 THEN dx ELSE 1.0 END AS sx, CASE WHEN dy >= 1e-8 THEN dy ELSE 1.0 END AS sy FROM h WHERE complete AND n >= 10),
+d AS (SELECT *, cxy / sx / sy AS v, ((dx / sx) ** 2 - (dy / sy) ** 2) / 2 AS g FROM s),
+m AS (SELECT *, v / sqrt(g * g + v * v) AS turn_v, g / sqrt(g * g + v * v) AS turn_g FROM d),
+e AS (SELECT m.service, m.window_index, t.window_index AS i, m.turn_v, m.turn_g, (t.x - mx) / sx AS p, (t.y - my) / sy AS q
+  FROM m JOIN c t ON t.service = m.service AND t.window_index <= m.window_index AND t.complete),
+r AS (SELECT service, window_index, i, greatest(p * p + q * q - turn_g * (p * p - q * q) - turn_v * 2 * p * q, 0) / 4 AS err FROM e),
+k AS (SELECT service, window_index, max(CASE WHEN i = window_index THEN err END) AS raw, min(CASE WHEN i < window_index THEN err END) AS lo,
+  avg(CASE WHEN i < window_index THEN err END) AS mean, coalesce(stddev_samp(CASE WHEN i < window_index THEN err END), 0) AS sd FROM r GROUP BY service, window_index),
+z AS (SELECT *, CASE WHEN raw <= lo THEN 0.0 WHEN raw <= mean THEN least(0.3, greatest(0.0, 0.3 * (raw - lo) / greatest(mean - lo, {D.RECONSTRUCTION_TAIL["floor"]})))
+  ELSE least(1.0, 0.3 + 0.7 * (1 - exp(-(raw - mean) / greatest(sd * {D.RECONSTRUCTION_TAIL["scale_factor"]}, {D.RECONSTRUCTION_TAIL["epsilon"]})))) END AS score FROM k)
+SELECT h.service, h.window_index, CASE WHEN NOT complete THEN 'missing_features' WHEN n < 10 THEN 'insufficient_history' ELSE 'success' END AS status,
+  r6(score) AS anomaly_score, CASE WHEN score >= 0.9 THEN 'critical' WHEN score >= 0.75 THEN 'error' WHEN score >= 0.5 THEN 'warning' WHEN score IS NOT NULL THEN 'info' END AS severity
+FROM h LEFT JOIN z ON z.service = h.service AND z.window_index = h.window_index"""
+
+
+@query("D5_reconstruction_causal", RECONSTRUCTION_SQL, ("observations",))
 def reconstruction_causal(spark, folder):
-    windows = W.extract(load(spark, folder, "observations"), BASE, ("service",))
-    scored = causal.score_causal(windows, BASE.columns, ("service",), "reconstruction", refit_every=12)
+    scored = _causal(spark, folder, "reconstruction")
     return scored.select("service", "window_index", "status", round6(F.col("anomaly_score")).alias("anomaly_score"), "severity")
 
 

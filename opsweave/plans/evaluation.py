@@ -368,7 +368,6 @@ def _evaluate(spark, folder):
     split_at = F.lit("2024-01-15 00:00:00").cast("timestamp")
     cfg = EvaluationConfig(
         W.FeatureConfig(("latency_ms:mean", "requests_total:mean"), 6 * H, 6 * H), ("service", "run_id"), "service", "run_id",
-        refit_every=14, trees=25,
     )
     return evaluate(obs.where(F.col("event_time") < split_at), obs.where(F.col("event_time") >= split_at), _truth(spark, folder), cfg)
 
