@@ -6,16 +6,16 @@ all history is an expanding frame that ends one row before the scored window.
 
 from __future__ import annotations
 
-from bisect import insort
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from opsweave.functions.identity import SIGNAL_NAMESPACE, joined, uuid5
 from opsweave.functions.numeric import DETECTOR_BANDS, clamp, is_finite, severity_from_score
+from opsweave.operators.prefix_order import prefix_quantiles
 
 # Two-sided standard normal quantile by interval width.
 NORMAL_QUANTILE = {0.80: 1.2815515655446004, 0.90: 1.6448536269514722, 0.95: 1.959963984540054, 0.99: 2.5758293035489004}
@@ -210,36 +210,12 @@ def scale_features(windows: DataFrame, columns: Sequence[str], keys: Sequence[st
 
 
 def _robust_history(windows: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    """Median and IQR of everything before each window.
-
-    ``percentile`` in an expanding frame sorts again for every row; one sorted list
-    per series grows by binary insertion instead.  A group holds one series' windows
-    (already aggregated), never raw rows.
-    """
-    extra = [T.StructField(f"{c}__{part}", T.DoubleType()) for c in columns for part in ("center", "scale")]
-    schema = T.StructType([*windows.schema.fields, *extra])
-    cols = list(columns)
-
-    def at(values, q):
-        pos = q * (len(values) - 1)
-        low = int(pos)
-        high = min(low + 1, len(values) - 1)
-        return values[low] + (pos - low) * (values[high] - values[low])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("window_index").reset_index(drop=True)
-        history: dict[str, list[float]] = {c: [] for c in cols}
-        parts: dict[str, list[float | None]] = {f.name: [] for f in extra}
-        for row in pdf[["_complete", *cols]].itertuples(index=False):
-            for c, value in zip(cols, row[1:]):
-                seen = history[c]
-                parts[f"{c}__center"].append(at(seen, 0.5) if seen else None)
-                parts[f"{c}__scale"].append(at(seen, 0.75) - at(seen, 0.25) if seen else None)
-                if row[0]:
-                    insort(seen, float(value))
-        return pdf.assign(**{k: pd.array(v, dtype="Float64") for k, v in parts.items()})
-
-    return windows.groupBy(*keys).applyInPandas(run, schema)
+    """Median and IQR of everything before each window, by ranks over prefixes."""
+    values = {c: F.when(F.col("_complete"), F.col(c)) for c in columns}
+    ranked = prefix_quantiles(windows, keys, values, (0.25, 0.5, 0.75))
+    for c in columns:
+        ranked = ranked.withColumn(f"{c}__center", F.col(f"{c}__q1")).withColumn(f"{c}__scale", F.col(f"{c}__q2") - F.col(f"{c}__q0"))
+    return ranked.drop(*[f"{c}__q{i}" for c in columns for i in range(3)])
 
 
 def tail_score(raw: Column, low: Column, mean: Column, std: Column, constant_match: Column,

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from opsweave.functions.skew import lookup_join
+from opsweave.operators.prefix_order import prefix_quantiles
 from opsweave.operators.quantiles import HOT_ROWS, sliced_quantiles
 from opsweave.session import materialise
 
@@ -209,7 +210,7 @@ def _fill_value(column: str, strategy: str, keys: Sequence[str]) -> Column:
     if strategy == "mean_fill":
         return F.avg(column).over(past)
     if strategy == "median_fill":
-        return F.percentile(column, 0.5).over(past)
+        return F.col(f"{column}__q0")
     ahead = Window.partitionBy(*keys).orderBy("window_index").rowsBetween(0, Window.unboundedFollowing)
     at = F.when(F.col(column).isNotNull(), F.col("window_index"))
     v0, i0 = F.last(column, ignorenulls=True).over(past), F.last(at, ignorenulls=True).over(past)
@@ -229,6 +230,8 @@ def impute(windows: DataFrame, keys: Sequence[str], cfg: FeatureConfig) -> DataF
     if cfg.imputation == "none":
         filled = windows.select("*", *[F.col(c).alias(f"_f_{c}") for c in cols])
     else:
+        if cfg.imputation == "median_fill":
+            windows = prefix_quantiles(windows, keys, {c: F.col(c) for c in cols}, (0.5,))
         fills = [F.coalesce(F.col(c), _fill_value(c, cfg.imputation, keys)).alias(f"_f_{c}") for c in cols]
         filled = windows.select("*", *fills)
 
@@ -239,7 +242,7 @@ def impute(windows: DataFrame, keys: Sequence[str], cfg: FeatureConfig) -> DataF
     was_missing = names(lambda c: F.col(c).isNull())
     still = names(lambda c: F.col(f"_f_{c}").isNull())
     done = names(lambda c: F.col(c).isNull() & F.col(f"_f_{c}").isNotNull())
-    kept = [c for c in windows.columns if c not in cols]
+    kept = [c for c in windows.columns if c not in cols and c not in [f"{x}__q0" for x in cols]]
     return filled.select(
         *kept,
         *[F.col(f"_f_{c}").alias(c) for c in cols],
