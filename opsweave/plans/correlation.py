@@ -41,9 +41,13 @@ def evidence_of(spark, folder, sig, cfg=CFG, broken: bool = False):
     return resolution, K.score_pairs(K.candidate_pairs(sig, cfg.window_seconds), resolution, linked, cfg)
 
 
-PAIRS = f"""pairs AS (SELECT a.signal_id AS left_id, b.signal_id AS right_id, a AS l, b AS r FROM signals a JOIN signals b
+def pairs_sql(window_us: int = WINDOW_US) -> str:
+    return f"""pairs AS (SELECT a.signal_id AS left_id, b.signal_id AS right_id, a AS l, b AS r FROM signals a JOIN signals b
   ON a.tenant_id = b.tenant_id AND a.environment = b.environment AND a.signal_id < b.signal_id
-  AND abs(epoch_us(a.event_time) - epoch_us(b.event_time)) <= {WINDOW_US})"""
+  AND abs(epoch_us(a.event_time) - epoch_us(b.event_time)) <= {window_us})"""
+
+
+PAIRS = pairs_sql()
 DIRECTED = """dwalk(s, t, d) AS (SELECT DISTINCT up, up, 0 FROM (SELECT up FROM service_edges UNION SELECT down FROM service_edges) n
   UNION SELECT w.s, e.down, w.d + 1 FROM dwalk w JOIN service_edges e ON e.up = w.t WHERE w.d < 3),
 dist AS (SELECT s, t, min(d) AS d FROM dwalk WHERE d > 0 GROUP BY ALL)"""
@@ -56,24 +60,25 @@ def _rank(side: str) -> str:
     return f"CASE {side}.severity WHEN 'debug' THEN 0 WHEN 'info' THEN 1 WHEN 'warning' THEN 2 WHEN 'error' THEN 3 WHEN 'critical' THEN 4 ELSE 2 END"
 
 
-def scored_sql(broken: bool = False) -> str:
+def scored_sql(broken: bool = False, cfg: K.CorrelationConfig = CFG) -> str:
     """CTEs up to ``scored``: every pair with its component scores and reason."""
     missing = "(l.service = 'view' OR r.service = 'view')" if broken else "false"
     ambiguous = "(l.service = 'signup' OR r.service = 'signup')" if broken else "false"
     context = " + ".join(f"CAST(l.{c} = r.{c} AS INTEGER)" for c in K.CONTEXT)
-    return f"""{DIRECTED}, {PAIRS},
+    window_us = cfg.window_seconds * 1_000_000
+    return f"""{DIRECTED}, {pairs_sql(window_us)},
 t AS (SELECT p.*, x.d AS ab, y.d AS ba, CASE WHEN {missing} THEN 'missing' WHEN {ambiguous} THEN 'ambiguous' WHEN l.service = r.service THEN 'same_service'
    WHEN x.d IS NOT NULL AND y.d IS NOT NULL THEN 'bidirectional' WHEN x.d IS NOT NULL THEN 'left_to_right' WHEN y.d IS NOT NULL THEN 'right_to_left' ELSE 'disconnected' END AS token
   FROM pairs p LEFT JOIN dist x ON x.s = l.service AND x.t = r.service LEFT JOIN dist y ON y.s = r.service AND y.t = l.service),
 c AS (SELECT left_id, right_id, l, r, token, CASE WHEN token IN ('left_to_right', 'right_to_left', 'bidirectional') THEN least(coalesce(ab, 999), coalesce(ba, 999)) ELSE 0 END AS hops,
-  1 - abs(epoch_us(l.event_time) - epoch_us(r.event_time)) / CAST({WINDOW_US} AS DOUBLE) AS temporal_score,
+  1 - abs(epoch_us(l.event_time) - epoch_us(r.event_time)) / CAST({window_us} AS DOUBLE) AS temporal_score,
   CASE WHEN l.service = r.service THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS service_score,
   (CAST(l.metric_or_feature = r.metric_or_feature AS INTEGER) + 1 - abs({_rank('l')} - {_rank('r')}) / CAST(4 AS DOUBLE) + 1 - abs(l.anomaly_score - r.anomaly_score)) / CAST(3 AS DOUBLE) AS symptom_score,
   ({context}) / CAST(5 AS DOUBLE) AS context_score FROM t),
 u AS (SELECT *, CASE WHEN token = 'same_service' THEN CAST(1 AS DOUBLE) WHEN token IN ('missing', 'ambiguous', 'disconnected') THEN CAST(0 AS DOUBLE) ELSE 1 / CAST(1 + hops AS DOUBLE) END AS topology_score FROM c),
 v AS (SELECT *, temporal_score * {CFG.temporal} + service_score * {CFG.service} + topology_score * {CFG.topology:.2f} + symptom_score * {CFG.symptom} + context_score * {CFG.context} AS weighted_score FROM u),
 scored AS (SELECT *, CASE WHEN token = 'missing' THEN 'topology_service_missing' WHEN token = 'ambiguous' THEN 'topology_service_ambiguous' WHEN token = 'disconnected' THEN 'disconnected_services'
-  WHEN weighted_score < {CFG.threshold} - 1e-12 THEN 'below_acceptance_threshold' ELSE concat('accepted;topology=', token, ';hops=', CAST(hops AS VARCHAR)) END AS reason FROM v)"""
+  WHEN weighted_score < {cfg.threshold} - 1e-12 THEN 'below_acceptance_threshold' ELSE concat('accepted;topology=', token, ';hops=', CAST(hops AS VARCHAR)) END AS reason FROM v)"""
 
 
 @query(
@@ -250,24 +255,45 @@ def guards(spark, folder):
 LOOSE = K.CorrelationConfig(window_seconds=86400, hop_limit=3, threshold=0.3, max_group_size=4)
 
 
-def grouped(spark, folder, max_task_edges: int = GR.MAX_TASK_EDGES):
+def grouped(spark, folder, max_task_edges: int = GR.MAX_TASK_EDGES, slice_edges: int = GR.SLICE_EDGES):
     """(signals, resolution, evidence, distances, groups) of the whole signal table."""
     sig = materialise(signals_with_prints(spark, folder))
     resolution, evidence = evidence_of(spark, folder, sig, LOOSE)
     evidence = materialise(evidence)
     far = undirected(spark, folder)
     edges = GR.joinable_edges(evidence, sig, far, resolution, LOOSE)
-    return sig, resolution, evidence, far, GR.complete_link_groups(sig, edges, LOOSE, max_task_edges)
-
-
-@query("K14_complete_link_groups")
+    return sig, resolution, evidence, far, GR.complete_link_groups(sig, edges, LOOSE, max_task_edges, slice_edges)
+
+
+_PART = ", ".join(("tenant_id", "environment", *K.CONTEXT))
+_SAME = " AND ".join(f"l.{c} = r.{c}" for c in K.CONTEXT)
+# The sequential rule, one pick a step, side by side in all run contexts: edges never leave one.
+SEQUENTIAL_SQL = f"""WITH RECURSIVE {scored_sql(cfg=LOOSE)}, {UNDIRECTED},
+pairs_ok AS (SELECT left_id, right_id FROM scored LEFT JOIN hops ON hops.s = l.service AND hops.t = r.service
+  WHERE starts_with(reason, 'accepted') AND {_SAME} AND (l.service = r.service OR hops.d <= {LOOSE.hop_limit})),
+node AS (SELECT signal_id, dense_rank() OVER (ORDER BY {_PART}) AS part, CAST(row_number() OVER (PARTITION BY {_PART} ORDER BY signal_id) AS INTEGER) AS k FROM signals),
+adj AS (SELECT a.part, a.k, list(b.k) AS near FROM (SELECT left_id AS x, right_id AS y FROM pairs_ok UNION SELECT right_id, left_id FROM pairs_ok) e
+  JOIN node a ON a.signal_id = e.x JOIN node b ON b.signal_id = e.y GROUP BY a.part, a.k),
+walk(part, free, members, pool, closed) AS (
+  SELECT part, list(k ORDER BY k), CAST([] AS INTEGER[]), CAST([] AS INTEGER[]), CAST([] AS INTEGER[]) FROM node GROUP BY part
+  UNION ALL SELECT s.part, list_filter(free, lambda x: x <> coalesce(pick, -1)), CASE WHEN pick IS NULL THEN [] WHEN len(pool) = 0 THEN [pick] ELSE list_append(members, pick) END,
+    CASE WHEN pick IS NULL THEN [] WHEN len(pool) = 0 THEN list_intersect(list_filter(free, lambda x: x <> pick), coalesce(near, [])) ELSE list_intersect(pool, coalesce(near, [])) END,
+    CASE WHEN pick IS NULL THEN members ELSE [] END
+  FROM (SELECT *, CASE WHEN len(members) > 0 AND (len(pool) = 0 OR len(members) >= {LOOSE.max_group_size}) THEN NULL WHEN len(pool) > 0 THEN list_min(pool) ELSE free[1] END AS pick
+    FROM walk WHERE len(free) > 0 OR len(members) > 0) s LEFT JOIN adj ON adj.part = s.part AND adj.k = pick),
+g AS (SELECT part, closed[1] AS seed, unnest(closed) AS k FROM walk WHERE len(closed) > 0)
+SELECT m.signal_id, h.signal_id AS group_id FROM g JOIN node m ON m.part = g.part AND m.k = g.k JOIN node h ON h.part = g.part AND h.k = g.seed"""
+
+
+@query("K14_complete_link_groups", SEQUENTIAL_SQL, SIG)
 def groups(spark, folder):
     return grouped(spark, folder)[4]
 
 
-@query("K14_complete_link_rounds")
+@query("K14_complete_link_rounds", SEQUENTIAL_SQL, SIG)
 def groups_by_rounds(spark, folder):
-    return grouped(spark, folder, max_task_edges=0)[4]
+    """The same groups with every component cut into slices."""
+    return grouped(spark, folder, max_task_edges=0, slice_edges=2000)[4]
 
 
 # A grouping that SQL can state: signals of one run context on one day.
