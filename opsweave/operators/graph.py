@@ -45,27 +45,37 @@ def validate_topology(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
+LEAVES = 64
+
+
 def topology_fingerprint(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row: SHA-256 over nodes and edges in canonical order, independent of row order.
+    """One row: SHA-256 over nodes and edges, independent of row order, as a Merkle tree.
 
-    Rows are hashed one by one, hashes are folded per three-digit prefix (4,096 groups)
-    and the group digests are folded once more, so no task sees the whole graph.
+    Leaves are the hashes of the rows (kind and JSON with sorted keys).  With n leaves they
+    are grouped by their first d hex digits, d the smallest with LEAVES x 16^d >= n, so a
+    group has some LEAVES whatever the graph's size (copies of one row count too); each
+    further level joins at most 16 digests, down to the one of the empty prefix.
     """
-    node_rows = nodes.select(F.sha2(F.to_json(F.struct("name", "service_id", "service_type")), 256).alias("h"))
-    edge_rows = edges.select(
-        F.sha2(F.to_json(F.struct(F.col("dep").alias("dependency_type"), F.col("down").alias("downstream_service_id"),
-                                  F.col("up").alias("upstream_service_id"))), 256).alias("h")
-    )
-    tagged = node_rows.withColumn("kind", F.lit("node")).unionByName(edge_rows.withColumn("kind", F.lit("edge")))
-    folded = tagged.groupBy("kind", F.substring("h", 1, 3).alias("prefix")).agg(
-        F.sha2(F.concat_ws("", F.array_sort(F.collect_list("h"))), 256).alias("digest"), F.count(F.lit(1)).alias("n")
-    )
-    parts = F.array_sort(F.collect_list(F.struct("kind", "prefix", "digest")))
-    return folded.agg(
-        F.sha2(F.to_json(parts), 256).alias("fingerprint"),
+    node = F.concat(F.lit("node:"), F.to_json(F.struct("name", "service_id", "service_type")))
+    edge = F.concat(F.lit("edge:"), F.to_json(F.struct(F.col("dep").alias("dependency_type"), F.col("down").alias("downstream_service_id"), F.col("up").alias("upstream_service_id"))))
+    leaves = nodes.select(F.lit("node").alias("kind"), F.sha2(node, 256).alias("h")).unionByName(edges.select(F.lit("edge").alias("kind"), F.sha2(edge, 256).alias("h")))
+    distinct = materialise(leaves.groupBy("kind", "h").agg(F.count(F.lit(1)).alias("n")))
+    sizes = distinct.agg(
+        F.count(F.lit(1)).alias("leaves"),
         F.coalesce(F.sum(F.when(F.col("kind") == "node", F.col("n"))), F.lit(0)).alias("nodes"),
         F.coalesce(F.sum(F.when(F.col("kind") == "edge", F.col("n"))), F.lit(0)).alias("edges"),
     )
+    total = sizes.first()["leaves"]
+    depth = next(d for d in range(17) if LEAVES * 16**d >= total)
+    entry = F.concat_ws("*", "h", F.col("n").cast("string"))
+    level = distinct.select(F.expr(f"left(h, {depth})").alias("prefix"), entry.alias("part"))
+    for d in range(depth, -1, -1):
+        joined_parts = F.concat_ws("", F.array_sort(F.collect_list("part")))
+        folded = level.groupBy("prefix").agg(F.sha2(joined_parts, 256).alias("digest"))
+        level = folded.select(F.expr(f"left(prefix, {max(d - 1, 0)})").alias("prefix"), F.concat("prefix", F.lit("="), "digest").alias("part"))
+    root = level.select(F.substring_index("part", "=", -1).alias("fingerprint"))
+    empty = F.sha2(F.lit(""), 256)
+    return sizes.join(root, how="left").select(F.coalesce("fingerprint", empty).alias("fingerprint"), "nodes", "edges")
 
 
 def neighbours(edges: DataFrame, direction: str) -> DataFrame:

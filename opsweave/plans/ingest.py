@@ -10,7 +10,7 @@ from opsweave.plans.inputs import load
 from opsweave.plans.registry import query, round6
 from opsweave.session import shared_folder
 from opsweave.sources.quarantine import read_quarantine, replay, write_quarantine
-from opsweave.sources.stores import newest_per_document, upsert_evidence
+from opsweave.sources.stores import newest_per_document, read_evidence, upsert_evidence, write_uncommitted
 
 # Kafka-shaped records of the whole event table.  The position in a cycle of 40 decides
 # which rule, if any, a record breaks; the check SQL states the expected outcome.
@@ -264,6 +264,24 @@ def upsert_across_dates(spark, folder):
     return spark.read.parquet(path).select("document_id", "moved", F.unix_micros("event_time").alias("us"))
 
 
+@query(
+    "S12_committed_version",
+    f"""WITH {RAW}, {EVIDENCE} SELECT document_id, kind = 'log' AS moved, bucket_ok FROM (SELECT *, true AS bucket_ok FROM ev) e""",
+    ("telemetry",),
+)
+def committed_version(spark, folder):
+    """Two writes, one of them repeated, and a third that dies before its manifest: the second's state."""
+    docs = S.build_evidence(good(spark, folder), F.lit("2024-02-01 00:00:00").cast("timestamp")).withColumn("moved", F.lit(False))
+    later = docs.where("event_type = 'log'").withColumn("ingested_at", F.expr("ingested_at + INTERVAL 1 HOUR")).withColumn("moved", F.lit(True))
+    path = shared_folder(spark, "evidence")
+    upsert_evidence(docs, path)
+    upsert_evidence(later, path)
+    upsert_evidence(later, path)
+    write_uncommitted(docs.withColumn("moved", F.lit(None).cast("boolean")), path)
+    same = F.col("bucket") == F.pmod(F.xxhash64("document_id"), F.lit(64))
+    return read_evidence(spark, path).select("document_id", "moved", same.alias("bucket_ok"))
+
+
 @query(
     "S5_quarantine_round_trip",
     f"""WITH {RAW} SELECT event_id AS offset, stage AS failure_stage, CASE WHEN m = 4 THEN 4 WHEN m IN (5, 15) THEN 6 ELSE 5 END AS headers FROM x WHERE stage IS NOT NULL""",

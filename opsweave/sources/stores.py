@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
@@ -54,8 +55,12 @@ def upsert_evidence(batch: DataFrame, path: str, buckets: int = 64) -> None:
 
     The store is partitioned by a hash of the id, so a document stays in its bucket when its
     time changes.  ``buckets`` must stay the same for a store.  Only the batch's buckets are read
-    and rewritten; each is replaced as a whole, not all at once, so a reader during a write may see
-    buckets of either state.  VARIANT payloads are kept as JSON text.
+    and written, into a new version; then one small manifest, which names the version of every
+    bucket, is put in place.  ``read_evidence`` goes by the last manifest: it sees all of a write
+    or nothing, also when the writer dies before that.  Replaced buckets and what dead writers
+    left are removed afterwards, so the folder read as plain parquet shows the same rows while
+    nobody writes; a read that runs meanwhile may fail and be repeated, but never mixes versions.
+    A store has one writer at a time.  VARIANT payloads are kept as JSON text.
     """
     spark = batch.sparkSession
     shaped = batch.withColumn("payload", F.to_json("payload")) if dict(batch.dtypes).get("payload") == "variant" else batch
@@ -64,20 +69,97 @@ def upsert_evidence(batch: DataFrame, path: str, buckets: int = 64) -> None:
     if not touched:
         return
     stored = stored_buckets(spark, path, fresh.schema, touched)
-    merged = fresh if stored is None else fresh.unionByName(stored)
-    # The stored rows are read before their partitions are replaced.
-    result = materialise(newest_per_document(merged))
-    result.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    merged = fresh if stored is None else fresh.unionByName(stored.select(*fresh.columns))
+    number, versions = _committed(spark, path)
+    version = uuid.uuid4().hex
+    _write_version(newest_per_document(merged), path, version)
+    _commit(spark, path, number + 1, {**versions, **{str(b): version for b in touched}})
+    _remove_uncommitted(spark, path)
+
+
+def _write_version(documents: DataFrame, path: str, version: str) -> None:
+    versioned = documents.withColumn("version", F.concat(F.lit("v"), F.lit(version))).hint("rebalance", "bucket")
+    versioned.write.mode("append").partitionBy("version", "bucket").parquet(path)
+
+
+def write_uncommitted(batch: DataFrame, path: str, buckets: int = 64) -> None:
+    """What a writer that dies before its manifest leaves behind; readers never see it."""
+    shaped = batch.withColumn("payload", F.to_json("payload")) if dict(batch.dtypes).get("payload") == "variant" else batch
+    _write_version(shaped.withColumn("bucket", F.pmod(F.xxhash64("document_id"), F.lit(buckets)).cast("int")), path, uuid.uuid4().hex)
+
+
+def _folder(spark: SparkSession, path: str):
+    """Hadoop's file system and path class for ``path``, as Spark itself would reach it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _committed(spark: SparkSession, path: str) -> tuple[int, dict[str, str]]:
+    """Number of the last manifest and its version of each bucket; (0, {}) before the first."""
+    fs, at = _folder(spark, path)
+    commits = at(f"{path}/_commits")
+    if not fs.exists(commits):
+        return 0, {}
+    names = [s.getPath().getName() for s in fs.listStatus(commits)]
+    last = max((n for n in names if n.endswith(".json")), default=None)
+    if last is None:
+        return 0, {}
+    stream = fs.open(at(f"{path}/_commits/{last}"))
+    try:
+        return int(last.removesuffix(".json")), json.loads(bytes(stream.readAllBytes()).decode())
+    finally:
+        stream.close()
+
+
+def _commit(spark: SparkSession, path: str, number: int, versions: dict[str, str]) -> None:
+    """Put a manifest in place by one rename; a number that exists means a second writer."""
+    fs, at = _folder(spark, path)
+    draft, final = at(f"{path}/_commits/{uuid.uuid4().hex}.draft"), at(f"{path}/_commits/{number:012d}.json")
+    stream = fs.create(draft, False)
+    stream.write(bytearray(json.dumps(versions, sort_keys=True).encode()))
+    stream.close()
+    if fs.exists(final) or not fs.rename(draft, final):
+        raise RuntimeError(f"another writer has committed version {number} of {path}")
+
+
+def _remove_uncommitted(spark: SparkSession, path: str) -> None:
+    """Remove version folders of buckets that the last manifest does not name."""
+    fs, at = _folder(spark, path)
+    number, versions = _committed(spark, path)
+    kept = {f"version=v{v}/bucket={b}" for b, v in versions.items()}
+    for status in fs.listStatus(at(path)):
+        name = status.getPath().getName()
+        if not name.startswith("version="):
+            continue
+        inside = [s.getPath().getName() for s in fs.listStatus(status.getPath())]
+        stale = [x for x in inside if x.startswith("bucket=") and f"{name}/{x}" not in kept]
+        if len(stale) == sum(x.startswith("bucket=") for x in inside):
+            fs.delete(status.getPath(), True)
+        else:
+            for x in stale:
+                fs.delete(at(f"{path}/{name}/{x}"), True)
+    for status in fs.listStatus(at(f"{path}/_commits")):
+        name = status.getPath().getName()
+        if name.endswith(".draft") or int(name.removesuffix(".json")) < number:
+            fs.delete(status.getPath(), False)
+
+
+def _bucket_folders(spark: SparkSession, path: str, buckets: Sequence[int] | None = None) -> list[str]:
+    wanted = None if buckets is None else {str(b) for b in buckets}
+    return [f"{path}/version=v{v}/bucket={b}" for b, v in sorted(_committed(spark, path)[1].items()) if wanted is None or b in wanted]
+
+
+def read_evidence(spark: SparkSession, path: str) -> DataFrame:
+    """The store as its last manifest names it."""
+    return spark.read.option("basePath", path).parquet(*_bucket_folders(spark, path)).drop("version")
 
 
 def stored_buckets(spark: SparkSession, path: str, schema: StructType, buckets: Sequence[int]) -> DataFrame | None:
     """Stored documents of some buckets; the others' files are not read.  None before the first write."""
-    try:
-        return spark.read.schema(schema).parquet(path).where(F.col("bucket").isin(list(buckets)))
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+    folders = _bucket_folders(spark, path, buckets)
+    if not folders:
+        return None
+    return spark.read.schema(schema).option("basePath", path).parquet(*folders).where(F.col("bucket").isin(list(buckets)))
 
 
 def _csv(df: DataFrame, columns: dict[str, str]) -> DataFrame:
