@@ -138,42 +138,45 @@ def forecast_status(target: Column, ready: Column, history: Column, expected: Co
 
 
 def _fit_with_regressors(hist: DataFrame, cfg: ForecastConfig, keys: Sequence[str], ready: Column) -> DataFrame:
-    """Normal equations from expanding sums, solved for a batch of windows at a time.
+    """Least squares on centred moments of the history, solved for a batch of windows at once.
 
-    The k*k system is the only thing Python sees; sums stay in Spark.
+    Means and covariances stay in Spark as expanding aggregates, which are centred and so
+    keep their digits far from zero; Python sees one k x k system per window.  Terms are
+    scaled to unit deviation; constant or dependent ones share their part (pseudo-inverse).
     """
     frame = history_frame(keys)
     # A cell holds the value only where the row may enter the history.
-    terms = [F.lit(1.0), *([F.col("window_index").cast("double")] if cfg.growth == "linear" else []),
-             *[F.col(r).cast("double") for r in cfg.regressors]]
-    y = F.col(cfg.target).cast("double")
+    terms = [*([F.col("window_index").cast("double")] if cfg.growth == "linear" else []), *[F.col(r).cast("double") for r in cfg.regressors]]
+    known = [F.when(ready, t) for t in terms]
+    y = F.when(ready, F.col(cfg.target).cast("double"))
     k = len(terms)
-
-    def total(expr: Column) -> Column:
-        return F.coalesce(F.sum(F.when(ready, expr)).over(frame), F.lit(0.0))
-
-    gram = F.array(*[total(terms[i] * terms[j]) for i in range(k) for j in range(k)])
-    cross = F.array(*[total(t * y) for t in terms])
-    sums = hist.select("*", gram.alias("_g"), cross.alias("_b"), total(y * y).alias("_yy"), F.array(*terms).alias("_x"))
+    gram = F.array(*[F.covar_pop(known[i], known[j]).over(frame) for i in range(k) for j in range(k)])
+    cross = F.array(*[F.covar_pop(t, y).over(frame) for t in known])
+    apart = F.array(*[t - F.avg(v).over(frame) for t, v in zip(terms, known)])
+    sums = hist.select("*", gram.alias("_g"), cross.alias("_b"), F.var_pop(y).over(frame).alias("_yy"), F.avg(y).over(frame).alias("_my"), apart.alias("_x"))
 
     @F.pandas_udf("struct<expected: double, sd: double>")
-    def solve(g: pd.Series, b: pd.Series, yy: pd.Series, x: pd.Series, n: pd.Series) -> pd.DataFrame:
+    def solve(g: pd.Series, b: pd.Series, yy: pd.Series, my: pd.Series, x: pd.Series, n: pd.Series) -> pd.DataFrame:
         out = np.full((len(g), 2), np.nan)
-        for i in range(len(g)):
-            if n.iloc[i] <= k or x.iloc[i] is None or any(v is None or v != v for v in x.iloc[i]):
-                continue
-            gm = np.asarray(g.iloc[i], dtype=float).reshape(k, k)
-            bv = np.asarray(b.iloc[i], dtype=float)
-            beta = np.linalg.lstsq(gm, bv, rcond=None)[0]
-            sse = max(float(yy.iloc[i]) - float(beta @ bv), 0.0)
-            out[i] = float(np.asarray(x.iloc[i], dtype=float) @ beta), np.sqrt(sse / (n.iloc[i] - k))
+        cells = np.array([np.concatenate([np.asarray(v, float) for v in row]) for row in zip(g, b, x)]).reshape(len(g), k * k + 2 * k)
+        usable = np.flatnonzero((n.to_numpy() > k + 1) & np.isfinite(cells).all(axis=1))
+        if len(usable):
+            matrix, right, at = cells[usable, : k * k].reshape(-1, k, k), cells[usable, k * k : k * k + k], cells[usable, k * k + k :]
+            scale = np.sqrt(np.einsum("nii->ni", matrix))
+            scale = np.where(scale > 0, scale, 1.0)
+            inverse = np.linalg.pinv(matrix / scale[:, :, None] / scale[:, None, :], rcond=1e-12, hermitian=True)
+            beta = np.einsum("nij,nj->ni", inverse, right / scale) / scale
+            count = n.to_numpy()[usable]
+            sse = np.maximum(count * (yy.to_numpy()[usable] - (beta * right).sum(axis=1)), 0.0)
+            out[usable, 0] = my.to_numpy()[usable] + (beta * at).sum(axis=1)
+            out[usable, 1] = np.sqrt(sse / (count - k - 1))
         return pd.DataFrame(out, columns=["expected", "sd"])
 
-    fit = sums.withColumn("_fit", solve("_g", "_b", "_yy", "_x", F.col("history_windows").cast("double")))
+    fit = sums.withColumn("_fit", solve("_g", "_b", "_yy", "_my", "_x", F.col("history_windows").cast("double")))
     return (
         fit.withColumn("expected", F.col("_fit.expected"))
         .withColumn("_resid_sd", F.coalesce(F.nanvl(F.col("_fit.sd"), F.lit(0.0)), F.lit(0.0)))
-        .drop("_fit", "_g", "_b", "_yy", "_x")
+        .drop("_fit", "_g", "_b", "_yy", "_my", "_x")
     )
 
 

@@ -70,7 +70,26 @@ def forecast_flat(spark, folder):
     return _forecast_out(_forecast(spark, folder, growth="flat"))
 
 
-@query("D1_forecast_regressors")
+def _moment(fn: str, *cells: str) -> str:
+    ready = f"{TARGET} IS NOT NULL AND {OTHER} IS NOT NULL"
+    return f"{fn}({', '.join(f'CASE WHEN {ready} THEN {c} END' for c in cells)}) {FRAME}"
+
+
+_T = "CAST(window_index AS DOUBLE)"
+# Window number and one regressor: the two centred normal equations by Cramer's rule.
+REGRESSOR_SQL = f"""WITH {windows_sql(BASE, KEYS)},
+h AS (SELECT environment, service, window_index, {TARGET} AS y, {OTHER} AS r, {_moment("count", TARGET)} AS n, {_moment("avg", TARGET)} AS my, {_moment("avg", _T)} AS mt, {_moment("avg", OTHER)} AS mr,
+  {_moment("covar_pop", _T, _T)} AS stt, {_moment("covar_pop", OTHER, OTHER)} AS srr, {_moment("covar_pop", _T, OTHER)} AS s_tr, {_moment("covar_pop", _T, TARGET)} AS sty,
+  {_moment("covar_pop", OTHER, TARGET)} AS sry, {_moment("var_pop", TARGET)} AS syy FROM agg),
+b AS (SELECT *, (srr * sty - s_tr * sry) / (stt * srr - s_tr * s_tr) AS bt, (stt * sry - s_tr * sty) / (stt * srr - s_tr * s_tr) AS br FROM h),
+f AS (SELECT *, my + bt * (window_index - mt) + br * (r - mr) AS expected, sqrt(greatest(n * (syy - bt * sty - br * sry), 0) / (n - 3)) AS sd FROM b WHERE n > 3),
+scored AS (SELECT h.environment, h.service, h.window_index, h.y, h.n, f.expected, f.expected - {D.NORMAL_QUANTILE[0.95]!r} * f.sd AS lower, f.expected + {D.NORMAL_QUANTILE[0.95]!r} * f.sd AS upper,
+  CASE WHEN h.y IS NULL OR h.r IS NULL THEN 'missing_target_value' WHEN h.n < 10 THEN 'insufficient_history' ELSE 'success' END AS status
+  FROM h LEFT JOIN f ON f.environment = h.environment AND f.service = h.service AND f.window_index = h.window_index)
+{_FORECAST_OUT}"""
+
+
+@query("D1_forecast_regressors", REGRESSOR_SQL, ("observations",))
 def forecast_regressors(spark, folder):
     return _forecast_out(_forecast(spark, folder, regressors=(OTHER,)))
 

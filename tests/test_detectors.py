@@ -92,3 +92,17 @@ def test_causal_scores_use_only_the_past(spark, model):
             assert left[i][1] == pytest.approx(right[i][1])
             assert 0.0 <= left[i][1] <= 1.0
     assert left[0][0] == "insufficient_history"
+
+
+def test_regressor_forecast_far_from_zero_and_dependent(spark):
+    """Centred moments keep their digits, and a regressor that repeats another changes nothing."""
+    rnd = random.Random(16)
+    x = [1e6 + rnd.uniform(0, 10) for _ in range(24)]
+    y = [1e7 + 0.2 * i + 3 * x[i] + rnd.gauss(0, 0.1) for i in range(24)]
+    rows = D.forecast_residual(series(spark, y, x=x), D.ForecastConfig("y", ("x",), min_history=6), KEYS).orderBy("window_index").collect()
+    twice = D.forecast_residual(series(spark, y, x=x, z=x), D.ForecastConfig("y", ("x", "z"), min_history=6), KEYS).orderBy("window_index").collect()
+    for i in range(8, 24):
+        a = np.column_stack([np.ones(i), np.arange(i) - i / 2, np.array(x[:i]) - 1e6])
+        beta = np.linalg.lstsq(a, np.array(y[:i]) - 1e7, rcond=None)[0]
+        want = 1e7 + float(beta @ [1, i - i / 2, x[i] - 1e6])
+        assert rows[i].expected == pytest.approx(want, abs=1e-4) and twice[i].expected == pytest.approx(want, abs=1e-3)
