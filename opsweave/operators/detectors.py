@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from opsweave.functions.identity import SIGNAL_NAMESPACE, joined, uuid5
 from opsweave.functions.numeric import DETECTOR_BANDS, clamp, is_finite, severity_from_score
+from opsweave.functions.skew import lookup_join
 from opsweave.operators.prefix_order import prefix_quantiles
+from opsweave.session import materialise
 
 # Two-sided standard normal quantile by interval width.
 NORMAL_QUANTILE = {0.80: 1.2815515655446004, 0.90: 1.6448536269514722, 0.95: 1.959963984540054, 0.99: 2.5758293035489004}
@@ -262,6 +264,22 @@ SIGNAL_COLUMNS = (
 ).split()
 
 
+def _signal_id(keys: Sequence[str]) -> Column:
+    return uuid5(SIGNAL_NAMESPACE, joined("model_name", "model_version", *keys, "window_index"))
+
+
+def signal_sources(scores: DataFrame, members: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(signal_id, event_id, metric_name): the events behind each signal, from the provenance table.
+
+    A table instead of an array in the signal: the ids of a hot window are spread by event
+    id and never meet in one row.  Windows without a signal have no rows; an empty
+    window's signal has none either.
+    """
+    place = [*keys, "window_index"]
+    ids = materialise(scores.where("status = 'success'").select(*place, _signal_id(keys).alias("signal_id")))
+    return lookup_join(members.select(*place, "event_id", "metric_name"), ids, place, ["event_id"]).select("signal_id", "event_id", "metric_name")
+
+
 def to_signals(scores: DataFrame, metric: str, keys: Sequence[str], evidence_type: str) -> DataFrame:
     """Successful score rows as signal records with one evidence struct each.
 
@@ -285,9 +303,8 @@ def to_signals(scores: DataFrame, metric: str, keys: Sequence[str], evidence_typ
         ).alias("details"),
         F.col("observation_timestamp").alias("timestamp"),
     )
-    identity = joined("model_name", "model_version", *keys, "window_index")
     return scores.where("status = 'success'").select(
-        uuid5(SIGNAL_NAMESPACE, identity).alias("signal_id"),
+        _signal_id(keys).alias("signal_id"),
         F.col("observation_timestamp").alias("event_time"),
         col("service", "unknown").alias("service"),
         F.lit(metric).alias("metric_or_feature"),

@@ -235,7 +235,7 @@ def validate_evidence(spark, folder):
 
 
 def undirected(spark, folder):
-    return materialise(G.distances(topology(spark, folder)[1], 32, "both"))
+    return materialise(G.distances(topology(spark, folder)[1], None, "both"))
 
 
 @query(

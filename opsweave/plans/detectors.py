@@ -301,3 +301,19 @@ def signals(spark, folder):
         round6(ev["observed_value"]).alias("observed"),
         round6(ev["expected_value"]).alias("expected"),
     )
+
+
+@query(
+    "D9_signal_sources",
+    f"""WITH {forecast_sql('linear')},
+d AS (SELECT *, sha1(unhex('{SIGNAL_NAMESPACE.hex}') || encode(concat_ws('|', 'forecast', '1.0.0', environment, service,
+  CAST(window_index AS VARCHAR)))) AS h FROM scored WHERE status = 'success')
+SELECT concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), '5' || substr(h, 14, 3),
+  translate(substr(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr(h, 18, 3), substr(h, 21, 12)) AS signal_id, o.event_id, o.metric_name
+FROM d JOIN observations o ON o.environment = d.environment AND o.service = d.service
+  AND epoch_us(o.event_time) >= d.origin_us + d.window_index * {BASE.step_us} AND epoch_us(o.event_time) < d.origin_us + d.window_index * {BASE.step_us} + {BASE.size_us}""",
+    ("observations",),
+)
+def signal_sources(spark, folder):
+    members = W.provenance(load(spark, folder, "observations"), BASE, KEYS)
+    return D.signal_sources(_forecast(spark, folder), members, KEYS)

@@ -215,7 +215,7 @@ def diameter(spark, folder):
         F.concat_ws("/", F.col("tenant_id").cast("string"), F.to_date("event_time").cast("string")).alias("group_id"),
         F.col("service").alias("service_id"),
     )
-    return G.group_diameter(members, G.distances(load(spark, folder, "service_edges"), 32, "both"))
+    return G.group_diameter(members, G.distances(load(spark, folder, "service_edges"), None, "both"))
 
 
 @query(

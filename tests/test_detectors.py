@@ -106,3 +106,12 @@ def test_regressor_forecast_far_from_zero_and_dependent(spark):
         beta = np.linalg.lstsq(a, np.array(y[:i]) - 1e7, rcond=None)[0]
         want = 1e7 + float(beta @ [1, i - i / 2, x[i] - 1e6])
         assert rows[i].expected == pytest.approx(want, abs=1e-4) and twice[i].expected == pytest.approx(want, abs=1e-3)
+
+
+def test_signal_sources_join_signals_and_provenance(spark):
+    y = [5.0 + (i % 3) for i in range(9)]
+    scores = D.forecast_residual(series(spark, y), D.ForecastConfig("y", min_history=4), KEYS)
+    members = spark.createDataFrame([("a", i, 10 * i + j, "m") for i in range(9) for j in range(i % 4)] + [("b", 5, 999, "m")], "service string, window_index long, event_id long, metric_name string")
+    got = {(r.signal_id, r.event_id) for r in D.signal_sources(scores, members, KEYS).collect()}
+    ids = {r.window_end.timestamp(): r.signal_id for r in D.to_signals(scores, "y", KEYS, "forecast_residual").select("window_end", "signal_id").collect()}
+    assert got == {(ids[i], 10 * i + j) for i in range(4, 9) for j in range(i % 4)}
