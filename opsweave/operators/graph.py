@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from opsweave.functions.skew import lookup_join
 from opsweave.session import materialise
 
 DIRECTIONS = ("downstream", "upstream", "both")
@@ -96,6 +97,33 @@ def neighbours(edges: DataFrame, direction: str) -> DataFrame:
     return best.select("node", "neighbour", F.col("_best.dep").alias("dep"))
 
 
+# A node with more edges than this has them dealt over sub-nodes of about so many.
+HUB_EDGES = 100_000
+
+
+def split_hubs(step: DataFrame, hub_edges: int) -> tuple[DataFrame, DataFrame | None]:
+    """(adjacency with ``_part``, hubs): a hub's edges lie in parts by a hash of the neighbour.
+
+    ``hubs`` (node, parts) has at most edges / hub_edges rows; None if there are none.
+    """
+    degree = step.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hub_edges)
+    hubs = materialise(degree.select("node", F.ceil(F.col("n") / hub_edges).cast("int").alias("parts")))
+    if hubs.isEmpty():
+        return step, None
+    placed = lookup_join(step, hubs, ["node"], ["neighbour"], "left")
+    part = F.pmod(F.xxhash64("neighbour"), F.coalesce("parts", F.lit(1))).cast("int")
+    return materialise(placed.select("node", "neighbour", part.alias("_part"))), hubs
+
+
+def expand(frontier: DataFrame, step: DataFrame, hubs: DataFrame | None) -> DataFrame:
+    """Frontier rows joined to the neighbours of their node; a row at a hub visits all its parts."""
+    if hubs is None:
+        return frontier.join(step, "node")
+    tagged = lookup_join(frontier, hubs, ["node"], ["root"], "left")
+    spread = tagged.withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return spread.join(step, ["node", "_part"]).drop("_part")
+
+
 def _walk(edges: DataFrame, roots: DataFrame, hops: int | None, direction: str, with_path: bool) -> DataFrame:
     """Breadth-first levels from every root: (root, node, depth[, path]).
 
@@ -105,14 +133,14 @@ def _walk(edges: DataFrame, roots: DataFrame, hops: int | None, direction: str,
     first discoverer when every level is expanded in path order.
     """
     _check(hops, direction)
-    step = materialise(neighbours(edges, direction).select("node", "neighbour").distinct())
+    step, hubs = split_hubs(materialise(neighbours(edges, direction).select("node", "neighbour").distinct()), HUB_EDGES)
     path = [F.array("root").alias("path")] if with_path else []
     level = materialise(
         roots.select("root").distinct().select("root", F.col("root").alias("node"), F.lit(0).alias("depth"), *path)
     )
     seen = level
     for depth in itertools.count(1) if hops is None else range(1, hops + 1):
-        found = level.join(step, "node").select(
+        found = expand(level, step, hubs).select(
             "root", F.col("neighbour").alias("node"),
             *([F.concat("path", F.array("neighbour")).alias("path")] if with_path else []),
         )
