@@ -11,9 +11,10 @@ rows with the lowest hashes of their ids), so one task can hold them.  Measuring
 scoring read all rows, independently of each other.
 
 Defined cases: a null text counts as an empty one and gets a score; repeated documents get
-a row each; a null doc_id counts as an empty text (remainder 0: held out) and is never fitted; a document with several labels takes the largest; null
-labels are not fitted; without labels of both kinds every score is the share of label 1
-(0.5 without any).  Labels, language, source and id are no inputs.
+a row each; a null doc_id counts as an empty text (remainder 0: held out) and is never
+fitted; a document with several labels takes the largest; null labels are not fitted;
+without labels of both kinds every score is the share of label 1 (0.5 without any).
+Labels, language, source and id are no inputs.
 """
 
 from __future__ import annotations
