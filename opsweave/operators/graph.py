@@ -8,14 +8,16 @@ is materialised, so the plan never grows with depth.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from opsweave.functions.skew import lookup_join
 from opsweave.session import materialise
 
 DIRECTIONS = ("downstream", "upstream", "both")
+EDGES_PER_TASK = 250_000  # some 80 MB of nodes in a Python worker
 
 
 def _check(hops: int | None, direction: str) -> None:
@@ -308,18 +310,70 @@ def check_snapshot(nodes: DataFrame, edges: DataFrame, expected_version: str | N
             raise ValueError(f"snapshot has more than {limit} {what}")
 
 
+def local_forest(pairs: DataFrame) -> DataFrame:
+    """Edges (a, b) replaced, within each partition, by one edge from every node to the lowest node it reaches there.
+
+    A partition keeps the nodes of at most ``EDGES_PER_TASK`` edges; a larger one is worked off in
+    runs of that many, which connect the same nodes.
+    """
+    schema = pairs.schema
+
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above: dict = {}
+        taken = 0
+
+        def root(node):
+            top = node
+            while above[top] != top:
+                top = above[top]
+            while above[node] != top:
+                above[node], node = top, above[node]
+            return top
+
+        def drained() -> Iterator[pa.RecordBatch]:
+            nodes = [node for node in above if above[node] != node]
+            for start in range(0, len(nodes), 50_000):
+                some = nodes[start : start + 50_000]
+                columns = [pa.array(some, types[0]), pa.array([root(node) for node in some], types[1])]
+                yield pa.RecordBatch.from_arrays(columns, names=["a", "b"])
+
+        types = None
+        for batch in batches:
+            types = [batch.column(c).type for c in ("a", "b")]
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+                one, two = root(above.setdefault(a, a) and a), root(above.setdefault(b, b) and b)
+                if one != two:
+                    above[max(one, two)] = min(one, two)
+            taken += batch.num_rows
+            if taken >= EDGES_PER_TASK:
+                yield from drained()
+                above.clear()
+                taken = 0
+        if above:
+            yield from drained()
+
+    return pairs.select("a", "b").mapInArrow(stars, schema)
+
+
 def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """(node, component): the smallest node id of each component.
 
-    Alternates large-star and small-star steps, which halve long chains, so the number
-    of rounds grows with the logarithm of the size.  Each round is materialised.
+    Edges are first contracted inside tasks of a bounded number of edges, as many tasks as their
+    count asks for.  Where one task is enough, that is the result.  Otherwise large-star and small-star
+    steps, which halve long chains, alternate with the contraction, so the number of rounds grows
+    with the logarithm of the size.  Each round is materialised.
     """
-    pairs = edges.select(F.greatest(left, right).alias("a"), F.least(left, right).alias("b")).where("a <> b").distinct()
-    nodes = edges.select(F.col(left).alias("node")).unionByName(edges.select(F.col(right).alias("node"))).distinct()
-    state = materialise(pairs)
+    state = materialise(edges.select(F.greatest(left, right).alias("a"), F.least(left, right).alias("b")).where("a <> b").distinct())
+    nodes = edges.select(F.explode(F.array(left, right)).alias("node"))
     signature = None
     while True:
-        both = state.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(state.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        tasks = -(-state.count() // EDGES_PER_TASK)
+        forest = local_forest(state.coalesce(max(1, tasks)))
+        if tasks <= 1:
+            state = forest
+            break
+        forest = materialise(forest.distinct())
+        both = forest.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(forest.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low2 = large.groupBy("a").agg(F.min("b").alias("m"))
@@ -330,5 +384,6 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
         if signature == tuple(now):
             break
         signature = tuple(now)
-    low = state.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
-    return nodes.join(low, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    found = state.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    every = found.unionByName(nodes.select("node", F.col("node").alias("component")))
+    return every.groupBy("node").agg(F.min("component").alias("component"))
