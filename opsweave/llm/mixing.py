@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from opsweave.functions.skew import running_total, slice_by_order
-from opsweave.llm.common import WORD, cut, small_side
+from opsweave.llm.common import WORD, cut, fingerprint, small_side
 
 WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
@@ -28,7 +28,7 @@ def n_words(text: Column | str = "text") -> Column:
 def exponential_key(doc_id: Column, quality: Column, seed: str = SEED) -> Column:
     """-ln(u) / quality with u in (0, 1) from the document's id, the same in every run.
 
-    Rows that repeat an id share a key, and with it the choice.
+    Rows that repeat an id share a key; ``take`` tells them apart where the budget ends among them.
     """
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
     u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
@@ -63,11 +63,11 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_
 
 
 def sized(docs: DataFrame, *more: Column | str) -> DataFrame:
-    """doc_id, source and size in words of rows (doc_id, text, source), and ``more``.
+    """doc_id, source, size in words and fp of rows (doc_id, text, source), and ``more``.
 
     Null and empty texts have no words.
     """
-    return docs.select(F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), n_words(docs["text"]).alias("size"), *more)
+    return docs.select(F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), n_words(docs["text"]).alias("size"), fingerprint(docs["text"]).alias("fp"), *more)
 
 
 def rate(sizes: DataFrame, labels: DataFrame, good: float = 2.0, poor: float = 0.5) -> DataFrame:
@@ -81,31 +81,54 @@ def rate(sizes: DataFrame, labels: DataFrame, good: float = 2.0, poor: float = 0
 
 
 def plan_mix(rated: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_epochs: int = MOST_EPOCHS, seed: str = SEED) -> DataFrame:
-    """Per source: source_size, target, epochs, and the largest key of the last, partial epoch.
+    """Per source: source_size, target, epochs, and where the last, partial epoch ends.
 
-    ``rated`` has doc_id, source, size and a positive quality.  Documents without words are
-    never taken.  A null source is a source.
+    All keys up to ``whole_key`` are in it.  Of the rows with ``cut_key``, ``cut_rows`` in number, it
+    holds what ``cut_left`` words have room for.  ``rated`` has doc_id, source, size and a positive
+    quality.  Documents without words are never taken.  A null source is a source.
     """
     source_id = F.xxhash64("source", F.col("source").isNull()).alias("_id")
-    drawn = cut(rated.select("doc_id", "source", "size", exponential_key(F.col("doc_id"), F.col("quality"), seed).alias("key")))
+    drawn = cut(rated.select("source", "size", exponential_key(F.col("doc_id"), F.col("quality"), seed).alias("key")))
     targets = source_targets(cut(drawn.groupBy("source").agg(F.sum("size").alias("source_size"))), weights, most_epochs)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
     planned = cut(targets.select("source", "source_size", "target", epochs.alias("epochs"), source_id))
-    order = ["key", "doc_id", "size"]
-    summed = running_total(slice_by_order(drawn.where("size > 0").select(source_id, *order), ["_id"], order), ["_id"], order, F.col("size"), "_upto")
+    # rows of one key are one step of the sums, so that a repeated id stays small
+    steps = drawn.where("size > 0").select(source_id, "key", "size").groupBy("_id", "key").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"))
+    summed = running_total(slice_by_order(steps, ["_id"], ["key"]), ["_id"], ["key"], F.col("words"), "_upto")
     left = planned.select("_id", (F.col("target") - F.col("epochs") * F.col("source_size")).alias("_left"))
-    # the budget ends inside a document: that one is taken if more than half of it fits
-    fits = summed.join(small_side(left), "_id").where(F.col("_upto") - F.col("size") / 2 <= F.col("_left"))
-    cuts = fits.groupBy("_id").agg(F.max("key").alias("cut_key"))
-    return cut(planned.join(cuts, "_id", "left").drop("_id"))
+    placed = summed.join(small_side(left), "_id").withColumn("fits", F.col("_upto") <= F.col("_left"))
+    first = F.min(F.when(~F.col("fits"), F.struct("key", (F.col("_left") - F.col("_upto") + F.col("words")).alias("left"), "n")))
+    ends = placed.groupBy("_id").agg(F.max(F.when(F.col("fits"), F.col("key"))).alias("whole_key"), first.alias("first"))
+    last = ends.select("_id", "whole_key", F.col("first.key").alias("cut_key"), F.col("first.left").alias("cut_left"), F.col("first.n").alias("cut_rows"))
+    return cut(planned.join(last, "_id", "left").drop("_id"))
 
 
 def take(rated: DataFrame, plan: DataFrame, seed: str = SEED) -> DataFrame:
-    """Adds source_size, target and ``copies``, the times the mix takes a row, to ``rated``."""
+    """Adds source_size, target and ``copies``, the times the mix takes a row, to ``rated``.
+
+    The budget ends inside a document: that one is taken if more than half of it fits.  Where it ends
+    among rows that repeat an id (or have none), these are taken in the order of size and
+    text, each by the same rule, so a source misses its target by half a document at most.
+    """
     side = plan.withColumnRenamed("source", "_source")
     joined = rated.join(small_side(side), F.col("source").eqNullSafe(F.col("_source")), "left")
-    chosen = F.coalesce(exponential_key(F.col("doc_id"), F.col("quality"), seed) <= F.col("cut_key"), F.lit(False)).cast("int")
-    return joined.withColumn("copies", F.when(F.col("size") > 0, F.col("epochs") + chosen).otherwise(0)).drop("_source", "epochs", "cut_key")
+    keyed = joined.withColumn("_key", exponential_key(F.col("doc_id"), F.col("quality"), seed))
+    at_cut, half = F.coalesce(F.col("_key") == F.col("cut_key"), F.lit(False)), F.col("size") / 2
+    tied = at_cut & (F.col("size") > 0) & (F.col("cut_rows") > 1)
+    chosen = F.when(at_cut, half <= F.col("cut_left")).otherwise(F.coalesce(F.col("_key") <= F.col("whole_key"), F.lit(False)))
+
+    def copies(last: Column) -> Column:
+        return F.when(F.col("size") > 0, F.col("epochs") + last.cast("int")).otherwise(0).alias("copies")
+
+    out = [*rated.columns, "source_size", "target"]
+    if plan.where("cut_rows > 1").isEmpty():
+        return keyed.select(*out, copies(chosen))
+    # the salt only spreads equal rows over slices; which of them is taken makes no difference
+    order = ["size", "fp", "_salt"]
+    source_id = F.xxhash64("source", F.col("source").isNull())
+    ties = slice_by_order(keyed.where(tied).withColumns({"_id": source_id, "_salt": F.xxhash64(F.monotonically_increasing_id())}), ["_id"], order)
+    summed = running_total(ties, ["_id"], order, F.col("size"), "_upto")
+    return keyed.where(~tied).select(*out, copies(chosen)).unionByName(summed.select(*out, copies(F.col("_upto") - half <= F.col("cut_left"))))
 
 
 def mix(docs: DataFrame, labels: DataFrame) -> DataFrame:
