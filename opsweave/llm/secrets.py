@@ -75,11 +75,13 @@ def thresholds(alphabet: str, width: int) -> tuple[float, int]:
     return float(np.quantile(bits, MISSED_BITS, method="lower")), int(np.quantile(turns, MISSED_TURNS, method="lower"))
 
 
-# What is known to be no secret, though it looks random.
+# What is known to be no secret, though it looks random.  Of an address, host and path are known;
+# user, password, query and fragment are not.
 ALLOW = (
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
     r"(?:sha(?:1|256|384|512)|md5)[:=-][A-Za-z0-9+/=]+",
-    r"(?<![A-Za-z])[A-Za-z]++://[^\x20\x09-\x0D]+",
+    r"(?<![A-Za-z])[A-Za-z]++://(?![^\x20\x09-\x0D/?#@]*+@)[^\x20\x09-\x0D?#]+",
+    r"(?<=@)[A-Za-z0-9.-]++(?::[0-9]++)?/[^\x20\x09-\x0D?#]*",
     r"(?<![A-Za-z])[A-Za-z]++(?:[-_/][A-Za-z]++)++",
 )
 
