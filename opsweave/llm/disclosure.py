@@ -39,7 +39,7 @@ TERM_SPANS = "array<struct<start:long,end:long,action:string>>"
 @dataclass(frozen=True)
 class DisclosureRules:
     reach: int = 80  # not used: terms count and are marked in whole texts
-    min_letters: int = 4
+    min_letters: int = 1
     support: int = 3
     generalise_at: float = 0.9
     remove_at: float = 0.98
