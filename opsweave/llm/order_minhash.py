@@ -3,18 +3,20 @@
 A text's k-mers are its five-word shingles, each labelled with its occurrence number.  A
 sketch takes the ``picks`` smallest under one hash and keeps them in text order, so two texts
 share it only if they share those shingles in that order.  Texts with a sketch in common are
-candidates.  A candidate pair's similarity is the share of shingles that both have in the
-same order, of the longer text's.  An alignment of the words within a narrow band settles pairs
-with few edits; for all others the longest common subsequence of shingles decides, without a bound
-on edits, so moved and replaced blocks cost no more than the shingles they break.
+candidates.  A pair is similar if it reaches the threshold in one of two ways, each a share of
+the longer text.  The first is its edit similarity: words less the edits that a banded alignment
+needs, with the band that the threshold allows, so that changed words cost one each wherever they
+stand.  The second is the share of shingles that both have in the same order, by an alignment in a
+narrow band or the longest common subsequence, so that a moved block costs the shingles it breaks.
 
 Equal texts are one node.  In a bucket of up to ``small`` texts all pairs are compared.  In a
 larger one all are compared with one of them, the lowest, so a group of n copies costs some
 n pairs.  What that leaves open is settled exactly: texts of large buckets that are in
-different components so far are compared if they can be similar at all.  Two texts with
-the threshold's share of shingles in common have one in common among the rarest
-n - threshold * n + 1 of each, so these are joined.  A passage on thousands of pages is
-not among its pages' rarest shingles, and brings no pairs.
+different components so far are compared if they share ``rare_share`` of their shingles: such
+texts have one in common among the rarest n - rare_share * n + 1 of each, so these are joined.
+Texts that edits alone make similar share fewer where each edit breaks five shingles of its own;
+these rest on the sketches.  A passage on thousands of pages is not among its pages' rarest
+shingles, and brings no pairs.
 """
 
 from __future__ import annotations
@@ -39,9 +41,10 @@ U = np.uint64
 
 @dataclass(frozen=True)
 class SketchRules:
-    sketches: int = 24
+    sketches: int = 36
     picks: int = 3
     similarity: float = 0.8
+    rare_share: float = 0.6
     small: int = 16
     seed: int = 20_240_601
 
@@ -247,22 +250,88 @@ def shared_in_order(x: np.ndarray, y: np.ndarray) -> int:
     return len(y) - free.bit_count()
 
 
+def window_masks(x: np.ndarray):
+    """A function (word, low, width) -> bits of the places from ``low`` on at which ``x`` has the word."""
+    order = np.argsort(x, kind="stable")
+    words, starts = np.unique(x[order], return_index=True)
+    places = dict(zip(words.tolist(), np.split(order, starts[1:])))
+
+    def bits(word: int, low: int, width: int) -> int:
+        at = places.get(word)
+        if at is None:
+            return 0
+        first, last = (0, len(at)) if len(at) < 4 else at.searchsorted([low, low + width]).tolist()
+        if last - first <= 8:
+            return sum(1 << p - low for p in at[first:last].tolist() if low <= p < low + width)
+        flags = np.zeros(width, "u1")
+        flags[at[first:last] - low] = 1
+        return int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little")
+
+    return bits
+
+
+def banded_distance(x: np.ndarray, y: np.ndarray, band: int) -> int | None:
+    """Edit distance of two arrays of words if it is at most ``band``, else None.
+
+    Bit t of column j stands for row j - band + t of the alignment table; the bits say where
+    the table rises and falls downwards, so a column costs a few operations on whole integers
+    and memory holds one column.
+    """
+    n, m = len(x), len(y)
+    if abs(n - m) > band:
+        return None
+    if n < band:  # the band begins inside the table
+        fill = np.zeros(band - n, U)
+        x, y, n, m = np.concatenate([fill, x]), np.concatenate([fill, y]), band, m + band - n
+    width = 2 * band + 1
+    every, top = (1 << width) - 1, 1 << 2 * band
+    bits = window_masks(x)
+    rises, falls, edits = every >> band << band, 0, band
+    beyond = m - n + 2 * band
+    for j, word in enumerate(y.tolist(), 1):
+        same = bits(word, j - band - 1, width)
+        level = ((((same & rises) + rises) ^ rises) | same | falls) & every
+        right, left = falls | (every & ~(level | rises)), level & rises
+        if j + band <= n:
+            edits += not level & top
+            if edits > beyond:
+                return None
+        else:
+            last = n - j + band
+            edits += (right >> last & 1) - (left >> last & 1)
+        level >>= 1
+        rises, falls = left | (every & ~(level | right)), level & right
+    return edits if edits <= band else None
+
+
+def edit_similarity(x: np.ndarray, y: np.ndarray, similarity: float) -> float:
+    """Words less edits, as a share of the longer text's; 0 below the threshold."""
+    longest = max(len(x), len(y))
+    common = len(np.intersect1d(labelled(x), labelled(y), assume_unique=True))
+    if common < similarity * longest - 1e-9:
+        return 0.0  # each word without a partner takes an edit
+    edits = banded_distance(x, y, int((1 - similarity) * longest + 1e-9))
+    return 0.0 if edits is None else (longest - edits) / longest
+
+
 def compare(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], similarity: float) -> float:
-    """Share of shingles in the same order, of the longer text's; 0 where it cannot reach the threshold.
+    """Share of shingles in the same order, or else the edit similarity, whichever reaches the threshold.
 
-    Where an alignment of few edits reaches the threshold, its share is returned.
+    Texts under five words are similar if they are equal.  Where neither reaches it, a value below the threshold.
     """
     (x, x_grams), (y, y_grams) = a, b
-    n = max(len(x), len(y)) - K + 1
+    longest = max(len(x), len(y))
+    n = longest - K + 1
     if n < 1:
         return float(np.array_equal(x, y))
-    if min(len(x), len(y)) - K + 1 < similarity * n:
-        return 0.0
-    if len(np.intersect1d(x_grams, y_grams, assume_unique=True)) < similarity * n:
+    if min(len(x), len(y)) < similarity * longest:
         return 0.0
-    found = align(x, y, NARROW)
-    aligned = sum(max(0, length - K + 1) for _, length in found[1]) / n if found else 0.0
-    return aligned if aligned >= similarity else shared_in_order(shingles(x), shingles(y)) / n
+    share = 0.0
+    if len(np.intersect1d(x_grams, y_grams, assume_unique=True)) >= similarity * n:
+        found = align(x, y, NARROW)
+        share = sum(max(0, length - K + 1) for _, length in found[1]) / n if found else 0.0
+        share = share if share >= similarity else shared_in_order(shingles(x), shingles(y)) / n
+    return share if share >= similarity else max(share, edit_similarity(x, y, similarity))
 
 
 def text_nodes(docs: DataFrame, rules: SketchRules) -> DataFrame:
@@ -294,7 +363,7 @@ def rarest_shingles(texts: DataFrame, rules: SketchRules) -> DataFrame:
     grams = cut(texts.mapInArrow(spread, "node binary, gram long, n long"))
     often = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
     place = F.row_number().over(Window.partitionBy("node").orderBy("often", "gram"))
-    first = grams.join(often, "gram").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * rules.similarity - 1e-9) + 1)
+    first = grams.join(often, "gram").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * rules.rare_share - 1e-9) + 1)
     return first.where("often > 1").select("gram", "node", "n")
 
 
@@ -308,7 +377,7 @@ def pairs_across(rare: DataFrame, components: DataFrame, rules: SketchRules, rep
         across = ends.select("gram", "component", F.explode(F.array_distinct(F.array("low", "high"))).alias("end")).select("gram", "component", "end.node", "end.n")
     one = across.select("gram", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("component").alias("a_in"))
     two = across.select("gram", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("component").alias("b_in"))
-    near = F.least("a_n", "b_n") >= rules.similarity * F.greatest("a_n", "b_n") - 1e-9
+    near = F.least("a_n", "b_n") + K - 1 >= rules.similarity * (F.greatest("a_n", "b_n") + K - 1) - 1e-9
     return one.join(two, "gram").where((F.col("a") < F.col("b")) & (F.col("a_in") != F.col("b_in")) & near).select("a", "b").distinct()
 
 
