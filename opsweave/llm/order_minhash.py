@@ -334,6 +334,31 @@ def compare(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray],
     return share if share >= similarity else max(share, edit_similarity(x, y, similarity))
 
 
+def worded(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed words of a text, and the same sorted and labelled with their occurrence."""
+    h = word_hashes(words_of(text))
+    return h, np.sort(labelled(h))
+
+
+def near(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], similarity: float) -> bool:
+    """Whether ``compare`` reaches the threshold, by the cheapest way that decides it.
+
+    Both shares need that share of words in common, in whatever order.
+    """
+    (x, x_words), (y, y_words) = a, b
+    longest = max(len(x), len(y))
+    if longest < K:
+        return np.array_equal(x, y)
+    if min(len(x), len(y)) < similarity * longest or len(np.intersect1d(x_words, y_words, assume_unique=True)) < similarity * longest - 1e-9:
+        return False
+    band = int((1 - similarity) * longest + 1e-9)
+    if align(x, y, min(band, NARROW)) is not None:
+        return True
+    if shared_in_order(shingles(x), shingles(y)) / (longest - K + 1) >= similarity:
+        return True
+    return band > NARROW and banded_distance(x, y, band) is not None
+
+
 def text_nodes(docs: DataFrame, rules: SketchRules) -> DataFrame:
     """doc_id, fp, node (a digest of the words) and sketch of every row of (doc_id, text)."""
 
@@ -387,22 +412,22 @@ def verify(pairs: DataFrame, texts: DataFrame, rules: SketchRules) -> DataFrame:
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (b"", None)
         for batch in batches:
-            scores = []
+            similar = []
             a_nodes, a_texts, b_texts = (batch.column(c) for c in ("a", "a_text", "b_text"))
             for i in range(batch.num_rows):
                 node = a_nodes[i].as_py()
                 if node != last[0]:
-                    last = (node, prepared(a_texts[i].as_py()))
-                scores.append(compare(last[1], prepared(b_texts[i].as_py()), rules.similarity))
-            yield pa.RecordBatch.from_arrays([a_nodes, batch.column("b"), pa.array(scores, pa.float64())], names=["a", "b", "similar"])
+                    last = (node, worded(a_texts[i].as_py()))
+                similar.append(near(last[1], worded(b_texts[i].as_py()), rules.similarity))
+            yield pa.RecordBatch.from_arrays([a_nodes, batch.column("b"), pa.array(similar, pa.bool_())], names=["a", "b", "similar"])
 
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("a_text"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("b_text"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "a_text", "b_text").mapInArrow(check, "a binary, b binary, similar double")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "a_text", "b_text").mapInArrow(check, "a binary, b binary, similar boolean")
 
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame, rules: SketchRules) -> DataFrame:
-    return verify(pairs, texts, rules).where(F.col("similar") >= rules.similarity).select("a", "b")
+    return verify(pairs, texts, rules).where("similar").select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, rules: SketchRules = SketchRules()) -> DataFrame:

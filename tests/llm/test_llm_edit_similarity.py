@@ -30,6 +30,18 @@ def test_compare_is_one_of_two_shares():
         grams = [[tuple(w[i : i + 5]) for i in range(len(w) - 4)] for w in (a, b)]
         shares = (1 - edit_distance(a, b) / len(a), sum(x == y for x, y in zip(*grams)) / len(grams[0]))
         assert (got >= 0.8) == (max(shares) >= 0.8 - 1e-9)
+        assert order_minhash.near(*(order_minhash.worded(" ".join(w)) for w in (a, b)), 0.8) == (got >= 0.8)
+
+
+def test_near_decides_as_compare_does():
+    rng = random.Random(11)
+    for _ in range(200):
+        a = words(rng.randint(1, 300), rng.randint(0, 10**6))
+        b = [w for w in a if rng.random() > rng.choice([0.02, 0.1, 0.2])]
+        cut = rng.randint(0, len(b) // 4)
+        b = rng.choice([b, b[cut:] + b[:cut], a[cut:] + a[:cut]])
+        ready, value = ([f(" ".join(w)) for w in (a, b)] for f in (order_minhash.worded, order_minhash.prepared))
+        assert order_minhash.near(*ready, 0.8) == (order_minhash.compare(*value, 0.8) >= 0.8)
 
 
 def replaced(base, percent, seed):
