@@ -13,11 +13,21 @@ from opsweave.session import ensure_checkpoint_dir, materialise, prepare
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
+# Rows that a Python task is handed at a time.  The JVM and the worker both hold a batch of texts.
+BATCH_ROWS = 1000
+
 # A joined side is broadcast up to this many rows of a few fixed-width columns
 # (some 30 MB as a hashed table), and shuffled beyond.
 BROADCAST_ROWS = 200_000
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hand whole texts to Python in batches of at most ``BATCH_ROWS``; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     prepare(spark)
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")

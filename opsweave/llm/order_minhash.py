@@ -31,7 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from opsweave.llm.common import SPACE, cut, fingerprint, small_side
+from opsweave.llm.common import cut, fingerprint, small_batches, small_side
 from opsweave.llm.line_quality import words_of
 from opsweave.operators.graph import connected_components
 
@@ -121,6 +121,7 @@ CELLS = 4_000_000
 NARROW = 16  # edits up to which pairs are aligned by words
 DENSE = 8  # equal pairs of shingles a shingle, beyond which they are not listed
 MASK_BITS = 500_000_000
+KEPT = 32  # texts a task keeps ready while it compares pairs
 
 
 def align(x: np.ndarray, y: np.ndarray, most: int) -> tuple[int, list[tuple[int, int]]] | None:
@@ -334,27 +335,100 @@ def compare(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray],
     return share if share >= similarity else max(share, edit_similarity(x, y, similarity))
 
 
-def worded(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed words of a text, and the same sorted and labelled with their occurrence."""
-    h = word_hashes(words_of(text))
-    return h, np.sort(labelled(h))
+class Words:
+    """Hashed words of a text, and what comparisons derive from them, each on first use."""
+
+    def __init__(self, text: str) -> None:
+        self.h = word_hashes(words_of(text))
+
+    @functools.cached_property
+    def sorted(self) -> np.ndarray:
+        """Words labelled with their occurrence, sorted."""
+        return np.sort(labelled(self.h))
+
+    @functools.cached_property
+    def grams(self) -> np.ndarray:
+        return shingles(self.h)
+
+    @functools.cached_property
+    def places(self) -> tuple[np.ndarray, np.ndarray]:
+        """Shingles sorted, and where they stand."""
+        order = np.argsort(self.grams, kind="stable")
+        return self.grams[order], order
+
+
+def worded(text: str) -> Words:
+    return Words(text)
+
+
+def rising(places: list[int]) -> list[int]:
+    """Indices of a longest strictly rising subsequence."""
+    tails: list[int] = []
+    ends: list[int] = []
+    before = [-1] * len(places)
+    for i, j in enumerate(places):
+        k = bisect_left(tails, j)
+        if k == len(tails):
+            tails.append(j)
+            ends.append(i)
+        else:
+            tails[k], ends[k] = j, i
+        before[i] = ends[k - 1] if k else -1
+    out, at = [], ends[-1] if ends else -1
+    while at >= 0:
+        out.append(at)
+        at = before[at]
+    return out[::-1]
 
 
-def near(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], similarity: float) -> bool:
+def one_alignment(a: Words, b: Words) -> tuple[int, int]:
+    """Shingles in the same order, and edits, of one alignment of two texts of five words or more.
+
+    Each shingle of ``a`` is tied to its first place in ``b``.  The best alignment has as many shingles
+    in order or more, and as many edits or fewer.
+    """
+    n, m = len(a.h), len(b.h)
+    ordered, order = b.places
+    at = np.minimum(ordered.searchsorted(a.grams), len(ordered) - 1)
+    i = np.flatnonzero(ordered[at] == a.grams)
+    j = order[at[i]]
+    if len(i) > 1 and (np.diff(j) <= 0).any():
+        chain = rising(j.tolist())
+        i, j = i[chain], j[chain]
+    if not len(i):
+        return 0, max(n, m)
+    new = np.flatnonzero((np.diff(i) != 1) | (np.diff(j) != 1))
+    first, last = np.concatenate([[0], new + 1]), np.concatenate([new, [len(i) - 1]])
+    # Words between the runs, where overlapping ends (under five words) are taken from the later run.
+    x_gap, y_gap = i[first[1:]] - i[last[:-1]] - K, j[first[1:]] - j[last[:-1]] - K
+    cut_off = np.maximum(0, np.maximum(-x_gap, -y_gap))
+    inside = int((np.maximum(x_gap, y_gap) + cut_off).sum())
+    return len(i), inside + int(max(i[0], j[0])) + int(max(n - i[-1] - K, m - j[-1] - K))
+
+
+def near(a: Words, b: Words, similarity: float) -> bool:
     """Whether ``compare`` reaches the threshold, by the cheapest way that decides it.
 
-    Both shares need that share of words in common, in whatever order.
+    One alignment by shingles shows it for most similar pairs.  Of the others, both shares need that
+    share of words in common, in whatever order.
     """
-    (x, x_words), (y, y_words) = a, b
+    x, y = a.h, b.h
     longest = max(len(x), len(y))
     if longest < K:
         return np.array_equal(x, y)
-    if min(len(x), len(y)) < similarity * longest or len(np.intersect1d(x_words, y_words, assume_unique=True)) < similarity * longest - 1e-9:
+    if min(len(x), len(y)) < similarity * longest:
         return False
     band = int((1 - similarity) * longest + 1e-9)
-    if align(x, y, min(band, NARROW)) is not None:
+    n = longest - K + 1
+    if min(len(x), len(y)) >= K:
+        in_order, edits = one_alignment(a, b)
+        if edits <= band or in_order / n >= similarity:
+            return True
+    if len(np.intersect1d(a.sorted, b.sorted, assume_unique=True)) < similarity * longest - 1e-9:
+        return False
+    if band <= NARROW and align(x, y, band) is not None:
         return True
-    if shared_in_order(shingles(x), shingles(y)) / (longest - K + 1) >= similarity:
+    if shared_in_order(a.grams, b.grams) / n >= similarity:
         return True
     return band > NARROW and banded_distance(x, y, band) is not None
 
@@ -376,20 +450,29 @@ def text_nodes(docs: DataFrame, rules: SketchRules) -> DataFrame:
     return source.mapInArrow(digest, "doc_id long, fp long, node binary, n_words int, sketch array<long>")
 
 
-def rarest_shingles(texts: DataFrame, rules: SketchRules) -> DataFrame:
-    """(gram, node) for the rarest labelled shingles of each text, as many as the threshold allows to differ, and one."""
+def rarest_shingles(texts: DataFrame, components: DataFrame, rules: SketchRules) -> DataFrame:
+    """(gram, node, n) for the rarest labelled shingles of each text, as many as the threshold allows to differ, and one.
+
+    Only shingles that occur in several components bring pairs.  Those of one component count as rarer than all others,
+    which is an order too, so they are left out, and a text with fewer others than the share asks for has none.
+    """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, text in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist()):
-                grams = labelled(shingles(word_hashes(words_of(text)))).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([node] * len(grams), pa.binary()), pa.array(grams), pa.array(np.full(len(grams), len(grams)))], names=["node", "gram", "n"])
-
-    grams = cut(texts.mapInArrow(spread, "node binary, gram long, n long"))
-    often = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
-    place = F.row_number().over(Window.partitionBy("node").orderBy("often", "gram"))
-    first = grams.join(often, "gram").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * rules.rare_share - 1e-9) + 1)
-    return first.where("often > 1").select("gram", "node", "n")
+            for start in range(0, batch.num_rows, 64):
+                some = batch.slice(start, 64)
+                grams = [labelled(shingles(word_hashes(words_of(text)))).view(np.int64) for text in some.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([some.column("node"), some.column("component"), pa.array(grams, pa.list_(pa.int64()))], names=["node", "component", "grams"])
+
+    placed = texts.join(components, "node", "left").select("node", F.xxhash64(F.coalesce("component", "node")).alias("component"), "text")
+    packed = cut(placed.mapInArrow(spread, "node binary, component long, grams array<long>"))
+    met = packed.select(F.explode("grams").alias("gram"), "component").groupBy("gram")
+    several = met.agg(F.count(F.lit(1)).alias("often"), F.min("component").alias("low"), F.max("component").alias("high"))
+    several = cut(several.where("low <> high").select("gram", "often"))
+    grams = packed.select("node", F.size("grams").cast("long").alias("n"), F.explode("grams").alias("gram")).join(small_side(several), "gram")
+    own = Window.partitionBy("node")
+    ranked = grams.withColumns({"place": F.row_number().over(own.orderBy("often", "gram")), "others": F.count(F.lit(1)).over(own)})
+    return ranked.where(F.col("place") <= F.col("others") - F.ceil(F.col("n") * rules.rare_share - 1e-9) + 1).select("gram", "node", "n")
 
 
 def pairs_across(rare: DataFrame, components: DataFrame, rules: SketchRules, representatives: bool) -> DataFrame:
@@ -410,16 +493,20 @@ def verify(pairs: DataFrame, texts: DataFrame, rules: SketchRules) -> DataFrame:
     """Adds ``similar`` to the pairs (a, b) of nodes; ``texts`` has node and text once each."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (b"", None)
+        last: dict[bytes, Words] = {}
+
+        def words(node: bytes, text: pa.StringScalar) -> Words:
+            if node not in last:
+                if len(last) >= KEPT:
+                    last.clear()
+                last[node] = worded(text.as_py())
+            return last[node]
+
         for batch in batches:
-            similar = []
-            a_nodes, a_texts, b_texts = (batch.column(c) for c in ("a", "a_text", "b_text"))
-            for i in range(batch.num_rows):
-                node = a_nodes[i].as_py()
-                if node != last[0]:
-                    last = (node, worded(a_texts[i].as_py()))
-                similar.append(near(last[1], worded(b_texts[i].as_py()), rules.similarity))
-            yield pa.RecordBatch.from_arrays([a_nodes, batch.column("b"), pa.array(similar, pa.bool_())], names=["a", "b", "similar"])
+            a_nodes, a_texts, b_nodes, b_texts = (batch.column(c) for c in ("a", "a_text", "b", "b_text"))
+            ends = zip(a_nodes.to_pylist(), a_texts, b_nodes.to_pylist(), b_texts)
+            similar = [near(words(a, a_text), words(b, b_text), rules.similarity) for a, a_text, b, b_text in ends]
+            yield pa.RecordBatch.from_arrays([a_nodes, b_nodes, pa.array(similar, pa.bool_())], names=["a", "b", "similar"])
 
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("a_text"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("b_text"))
@@ -437,6 +524,7 @@ def near_duplicates(docs: DataFrame, rules: SketchRules = SketchRules()) -> Data
     verified links of the row's text to other texts.  Equal word sequences are one text
     without a link; texts without words are equal.  Null texts are empty.
     """
+    small_batches(docs.sparkSession)
     rows = cut(text_nodes(docs, rules))
     owners = rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "sketch")).alias("own"))
     nodes = cut(owners.select("node", F.col("own.doc_id").alias("doc_id"), F.col("own.fp").alias("fp"), F.col("own.sketch").alias("sketch")))
@@ -457,11 +545,10 @@ def near_duplicates(docs: DataFrame, rules: SketchRules = SketchRules()) -> Data
     pairs = cut(pairs.unionByName(large.select(F.least("first", "node").alias("a"), F.greatest("first", "node").alias("b"))).distinct())
     links = cut(similar_pairs(pairs, texts, rules))
 
-    rare = cut(rarest_shingles(texts.join(met.where("large"), "node", "left_semi"), rules))
-    # first the lowest and highest text of each group at a shingle, which joins most; then all,
-    # between components.  For the first, a text's group is its lowest neighbour.
-    ends = links.select(F.col("a").alias("node"), F.col("a").alias("component")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("component")))
-    more = cut(pairs_across(rare, ends.groupBy("node").agg(F.min("component").alias("component")), rules, True).join(pairs, ["a", "b"], "left_anti"))
+    # first the lowest and highest text of each component at a shingle, which joins most; then all, between components
+    settled = cut(connected_components(links, "a", "b"))
+    rare = cut(rarest_shingles(texts.join(met.where("large"), "node", "left_semi"), settled, rules))
+    more = cut(pairs_across(rare, settled, rules, True).join(pairs, ["a", "b"], "left_anti"))
     links = cut(links.unionByName(similar_pairs(more, texts, rules)))
     components = cut(connected_components(links, "a", "b"))
     last = pairs_across(rare, components, rules, False).join(pairs.unionByName(more), ["a", "b"], "left_anti")
