@@ -7,6 +7,7 @@ from pyspark.sql import Window, functions as F
 from opsweave.operators import graph as G
 from opsweave.plans.inputs import load
 from opsweave.plans.registry import query
+from opsweave.session import materialise
 from opsweave.sources import topology as T
 
 # Nodes of the supply tree: every id that occurs in it, suppliers named by nation.
@@ -145,7 +146,7 @@ SELECT source, node AS target, hops AS hop_count, array_to_string(path, '>') AS
     ("edges_trade",),
 )
 def simple_paths(spark, folder):
-    edges = load(spark, folder, "edges_trade")
+    edges = materialise(load(spark, folder, "edges_trade"))  # four tables joined, once for all that reads it
     nodes = _nodes(edges).select("service_id")
     pairs = nodes.select(F.col("service_id").alias("source")).join(
         edges.select(F.col("up").alias("source"), F.col("down").alias("target")), "source"
