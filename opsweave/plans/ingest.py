@@ -264,6 +264,13 @@ def upsert_across_dates(spark, folder):
     return spark.read.parquet(path).select("document_id", "moved", F.unix_micros("event_time").alias("us"))
 
 
+def evidence_batch(spark, folder):
+    """The evidence of all good records, parsed once and kept as Parquet for the writes that repeat it."""
+    docs, path = S.build_evidence(good(spark, folder), F.lit("2024-02-01 00:00:00").cast("timestamp")), shared_folder(spark, "evidence-batch")
+    docs.withColumn("payload", F.to_json("payload")).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 @query(
     "S12_committed_version",
     f"""WITH {RAW}, {EVIDENCE} SELECT document_id, kind = 'log' AS moved, bucket_ok FROM (SELECT *, true AS bucket_ok FROM ev) e""",
@@ -271,7 +278,7 @@ def upsert_across_dates(spark, folder):
 )
 def committed_version(spark, folder):
     """Two writes, one of them repeated, and a third that dies before its manifest: the second's state."""
-    docs = S.build_evidence(good(spark, folder), F.lit("2024-02-01 00:00:00").cast("timestamp")).withColumn("moved", F.lit(False))
+    docs = evidence_batch(spark, folder).withColumn("moved", F.lit(False))
     later = docs.where("event_type = 'log'").withColumn("ingested_at", F.expr("ingested_at + INTERVAL 1 HOUR")).withColumn("moved", F.lit(True))
     path = shared_folder(spark, "evidence")
     upsert_evidence(docs, path)
