@@ -90,3 +90,37 @@ def F_size(_):
     from pyspark.sql import functions as F
 
     return F.size("counts") - 1
+
+
+def test_frequent_words_outlive_a_full_cache(monkeypatch):
+    monkeypatch.setattr(token_files, "CACHE_WORDS", 40)
+    monkeypatch.setattr(token_files, "CACHE_STEMS", 40)
+    monkeypatch.setattr(token_files, "_WORDS", {})
+    seen: list[str] = []
+    letters = token_files.WordEncoder.letters(token_files_tokenizer())
+
+    class Noted(dict):
+        def __missing__(self, c):
+            raise LookupError(c)
+
+        def __getitem__(self, c):
+            seen.append(chr(c))
+            return super().__getitem__(c)
+
+    monkeypatch.setattr(token_files.WordEncoder, "letters", staticmethod(lambda tokenizer: Noted(letters)))
+    code = token_files.WordEncoder.load(WORDS)
+    encode = code.encoder()
+    rng = random.Random(5)
+    for _ in range(30):
+        # "zzzz" is in every text; the others are new and without that letter
+        text = " ".join(["zzzz", *("".join(rng.choices("abcdefghij", k=9)) for _ in range(30))])
+        ids = np.frombuffer(encode([text])[0], code.dtype)
+        assert ids.tolist() == token_files_tokenizer().encode(text, add_special_tokens=False).ids
+    assert seen.count("z") == 1  # looked up once for each time the word is encoded
+    assert all(len(age) <= 40 + 32 for kept in token_files._WORDS[code.key] for age in (kept.young, kept.old))
+
+
+def token_files_tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(WORDS)
