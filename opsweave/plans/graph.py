@@ -147,10 +147,8 @@ SELECT source, node AS target, hops AS hop_count, array_to_string(path, '>') AS
 )
 def simple_paths(spark, folder):
     edges = materialise(load(spark, folder, "edges_trade"))  # four tables joined, once for all that reads it
-    nodes = _nodes(edges).select("service_id")
-    pairs = nodes.select(F.col("service_id").alias("source")).join(
-        edges.select(F.col("up").alias("source"), F.col("down").alias("target")), "source"
-    ).unionByName(nodes.select(F.col("service_id").alias("source"), F.col("service_id").alias("target")))
+    # Every target within the hops of a node that has edges out, linked to it or not.
+    pairs = G.distances(edges, 2, "downstream", edges.select(F.col("up").alias("root"))).select("source", "target")
     return G.find_paths(edges, pairs, 2).select("source", "target", "hop_count", F.concat_ws(">", "path").alias("path"))
 
 
