@@ -85,3 +85,14 @@ def test_rounding_is_that_of_decimals(spark):
     df = spark.createDataFrame([(v,) for v in values], "v double").select(round6("v").alias("a"), F.round(F.col("v") + F.lit(1e-9), 6).alias("b"))
     assert all(repr(r.a) == repr(r.b) for r in df.collect())
     assert "rint" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_checks_read_scores_from_a_step_of_their_own(spark, monkeypatch):
+    """The scores of a pair are not copied into each check."""
+    from opsweave.plans import correlation
+
+    tables = {"signals": signals(spark), "service_edges": edges_df(spark, [("gw", "ord"), ("ord", "pay")])}
+    monkeypatch.setattr(correlation, "load", lambda _spark, _folder, name: tables[name])
+    plan = correlation.validate_evidence(spark, "")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    copied = [line for line in plan if "Filter" in line and "below_acceptance_threshold" in line]
+    assert not copied and any("Generate inline" in line for line in plan)
